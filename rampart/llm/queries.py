@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import pieces, pii
+from rampart.llm import idstore, pieces, pii, storage
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,9 +28,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, tokenizer = storage.new_path(spark, "ids"), tokenizer_path("byte_bpe_50k.json")
+    idstore.write(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
+    idstore.verify(spark, folder)
+    return idstore.summary(spark, folder, tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_idstore": op6_idstore,
 }
 
 ORACLE_SQL: dict[str, str] = {}
