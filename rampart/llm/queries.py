@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import idstore, pieces, pii, storage
+from rampart.llm import idstore, pieces, pii, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,21 @@ def op6_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_idstore": op6_idstore,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substrings": r"""
+        WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        passage AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM doc WHERE len(words) >= 50)),
+        earliest AS (SELECT w, min(doc_id) AS own FROM passage GROUP BY w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM passage JOIN earliest USING (w) WHERE doc_id > own),
+        word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM doc),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (doc_id)
+    """,
+}
