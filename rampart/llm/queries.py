@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import idstore, pieces, pii, storage, substrings
+from rampart.llm import idstore, neardup, pieces, pii, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, tokenizer = storage.new_path(spark, "ids"), tokenizer_path("byte_bpe_50k.json")
     idstore.write(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_neardup": op5_neardup,
     "op6_idstore": op6_idstore,
 }
 
