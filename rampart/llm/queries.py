@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import idstore, neardup, pieces, pii, storage, substrings
+from rampart.llm import idstore, langid, neardup, pieces, pii, quality, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,12 +43,22 @@ def op6_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.summary(spark, folder, tokenizer)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_neardup": op5_neardup,
     "op6_idstore": op6_idstore,
+    "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
