@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import idstore, langid, neardup, pieces, pii, quality, storage, substrings
+from rampart.llm import htmltext, idstore, langid, neardup, pieces, pii, quality, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,6 +51,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_pii": op3_pii,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_idstore": op6_idstore,
     "op7_quality": op7_quality,
     "op8_langid": op8_langid,
+    "op9_html": op9_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
