@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import htmltext, idstore, langid, neardup, pieces, pii, quality, storage, substrings
+from rampart.llm import decontaminate, htmltext, idstore, langid, neardup, pieces, pii, quality, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_neardup": op5_neardup,
@@ -77,4 +82,47 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM doc LEFT JOIN kept USING (doc_id)
     """,
+    "op2_decontaminate": rf"""
+        WITH input AS (
+            SELECT 'doc' AS side, doc_id AS id, hash(text) AS txt, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+            UNION SELECT 'item', item_id, hash(text), text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+        ),
+        split AS (
+            SELECT side, id, txt, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS words,
+                   list_concat(CASE WHEN regexp_matches(text, '^[^\p{{L}}\p{{N}}]') THEN []::VARCHAR[] ELSE [''] END, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]+')) AS gaps
+            FROM input
+        ),
+        word AS (SELECT side, id, txt, generate_subscripts(words, 1) AS i, unnest(words) AS w, unnest(gaps[1:len(words)]) AS gap FROM split),
+        typed AS (
+            SELECT *, lower(w) AS value,
+                   CASE WHEN regexp_matches(w, '^[0-9]') THEN '{decontaminate.NUMBER}'
+                        WHEN len(gap) <= 2 AND regexp_matches(lag(w) OVER doc, '^[0-9]') AND lower(w) IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN '{decontaminate.UNIT}'
+                        WHEN i > 1 AND gap IN (' ', ', ', '; ', ': ') AND regexp_matches(w, '^\p{{Lu}}') THEN '{decontaminate.NAME}'
+                        ELSE lower(w) END AS c
+            FROM word WINDOW doc AS (PARTITION BY side, id, txt ORDER BY i)
+        ),
+        slotted AS (SELECT *, c IN ('{decontaminate.NUMBER}', '{decontaminate.UNIT}', '{decontaminate.NAME}') AS slot FROM typed),
+        win AS (
+            SELECT side, id, txt, i, string_agg(c, ' ') OVER frame AS k, count(*) OVER frame AS n, sum(slot::INT) OVER frame AS slots
+            FROM slotted WINDOW frame AS (PARTITION BY side, id, txt ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING)
+        ),
+        size AS (SELECT id, txt, count(*) AS n FROM word WHERE side = 'item' GROUP BY id, txt),
+        hit AS (
+            SELECT DISTINCT d.id AS doc_id, d.txt, t.id AS item_id, t.txt AS item, d.i - t.i AS shift, t.i AS pos
+            FROM win d JOIN win t ON d.k = t.k WHERE d.side = 'doc' AND t.side = 'item' AND d.n = {decontaminate.WINDOW} AND t.n = {decontaminate.WINDOW} AND t.slots <= {decontaminate.SLOTS}
+        ),
+        spot AS (SELECT DISTINCT doc_id, txt, item_id, item, shift, unnest(range(pos, pos + {decontaminate.WINDOW})) AS i FROM hit),
+        cover AS (
+            SELECT doc_id, spot.txt, item_id, item, shift, size.n, count(*) AS covered FROM spot JOIN size ON size.id = item_id AND size.txt = item
+            GROUP BY ALL HAVING count(*) >= {decontaminate.SHARE} * size.n OR count(*) >= {decontaminate.ENOUGH}
+        ),
+        pair AS (
+            SELECT spot.doc_id, spot.txt, spot.item_id, spot.item, spot.shift, count(DISTINCT (t.value, d.value)) AS pairs, count(DISTINCT t.value) AS own
+            FROM spot JOIN slotted t ON t.side = 'item' AND t.id = item_id AND t.txt = item AND t.i = spot.i AND t.slot
+            JOIN slotted d ON d.side = 'doc' AND d.id = doc_id AND d.txt = spot.txt AND d.i = spot.i + shift GROUP BY ALL
+        ),
+        ok AS (SELECT cover.* FROM cover LEFT JOIN pair USING (doc_id, txt, item_id, item, shift) WHERE pairs IS NULL OR pairs = own),
+        best AS (SELECT doc_id, item_id, max(row(covered, n)) AS b FROM ok GROUP BY ALL)
+        SELECT doc_id, item_id, b[1]::BIGINT AS covered, b[2]::BIGINT AS n_tokens FROM best
+    """,
 }
