@@ -109,7 +109,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item; rows with a null id or text stay."""
-    found = matches(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("gone_"), F.col("row").alias("row_")).distinct()
+    found = matches(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_rampart_id"), F.col("row").alias("_rampart_row")).distinct()
     if _small(found):
         found = F.broadcast(found)
-    return docs.join(found, (F.col(doc_id) == F.col("gone_")) & (F.xxhash64(F.col(text)) == F.col("row_")), "left_anti")
+    return docs.join(found, (F.col(doc_id) == F.col("_rampart_id")) & (F.xxhash64(F.col(text)) == F.col("_rampart_row")), "left_anti")

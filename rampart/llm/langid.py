@@ -232,8 +232,23 @@ def _labelled(model: Model | None, column: int) -> Callable[[Iterable[pa.RecordB
     return run
 
 
+def keep(df: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that have a language, and its score is ``least`` or more; the columns stay as they are."""
+    column = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model and batch.num_rows:
+                langs, scores = label(batch.column(column), model)
+                yield batch.filter(pa.array([lang != "und" and x >= least for lang, x in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of ``df`` plus ``lang_pred`` and ``lang_score``. The model's size doesn't depend on the data."""
+    """All columns of ``df`` plus ``lang_pred`` and ``lang_score``, which take the place of columns of these names.
+    The model's size doesn't depend on the data."""
+    df = df.drop("lang_pred", "lang_score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string, lang_score double"])
     return df.mapInArrow(_labelled(model, df.columns.index(text)), schema)
 

@@ -124,7 +124,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float) -> float:
     return found if found >= similar else 0.0
 
 
-_TEXTS = "doc_id bigint, node binary, n int, sketches array<bigint>"
+_TEXTS = "doc_id bigint, row bigint, node binary, n int, sketches array<bigint>"
 
 
 def _nodes(one: np.ndarray, two: np.ndarray) -> pa.Array:
@@ -134,7 +134,7 @@ def _nodes(one: np.ndarray, two: np.ndarray) -> pa.Array:
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc = batch.column(0)
+        own = batch.select([0, 2])
         for r0, r1, data, at in K.chunks(pc.utf8_lower(K.strings(batch.column(1)))):
             labelled, begin, one, two = kmers(data, at)
             n = np.diff(begin)
@@ -143,7 +143,8 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lists = sketch(labelled, np.append(begin[:-1][some], begin[-1]))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCHES), pa.array(K.signed(lists.reshape(-1))))
-            yield pa.RecordBatch.from_arrays([doc.slice(r0, r1 - r0).take(pa.array(some)), _nodes(one[some], two[some]), pa.array(n[some].astype(np.int32)), values], names=["doc_id", "node", "n", "sketches"])
+            rows = own.slice(r0, r1 - r0).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([*rows.columns, _nodes(one[some], two[some]), pa.array(n[some].astype(np.int32)), values], names=["doc_id", "row", "node", "n", "sketches"])
 
 
 def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +198,8 @@ def _others(members: DataFrame, turn: int) -> DataFrame:
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Per row: ``doc_id`` and ``class_id``, the smallest doc_id of its class, plus ``row`` to tell rows of one doc_id apart."""
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """``doc_id, row, class_id`` of the rows that have words: ``row`` is the text's hash, ``class_id`` the smallest doc_id of the class."""
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = storage.materialize(known.mapInArrow(_sketched, _TEXTS), "sketches")
     own = texts.groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -232,21 +233,18 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
     by_node = named.join(smallest, "root").select("node", "class_id")
-    found = texts.select("doc_id", "node").distinct().join(by_node, "node").select("doc_id", "node", "class_id")
-    return found
+    return texts.select("doc_id", "row", "node").join(by_node, "node").select("doc_id", "row", "class_id").distinct()
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """doc_id and class_id for every row of ``df``."""
     found = classes(df, doc_id, text, similar)
-    least = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"))
-    return rows.join(least, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"))
+    return rows.join(found, ["doc_id", "row"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``df`` whose doc_id is that of their class; rows with a null doc_id stay, rows equal in all columns become one."""
-    columns = df.columns
-    found = report(df, doc_id, text, similar).distinct()
-    gone = found.where("class_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("gone_"), "left_anti").select(columns)
+    """The rows of ``df`` whose doc_id is that of their class, once each; rows with a null doc_id or text stay."""
+    gone = classes(df, doc_id, text, similar).where("class_id < doc_id").select(F.col("doc_id").alias("_rampart_id"), F.col("row").alias("_rampart_row"))
+    left = df.join(gone, (F.col(doc_id).cast("bigint") == F.col("_rampart_id")) & (F.xxhash64(F.col(text)) == F.col("_rampart_row")), "left_anti")
+    return left.dropDuplicates([doc_id, text])

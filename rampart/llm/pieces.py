@@ -284,13 +284,15 @@ def _encode(path: str, column: int) -> Callable[[Iterable[pa.RecordBatch]], Iter
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """All columns of ``df`` plus ``piece_ids`` (binary, little-endian 32-bit ids)."""
+    """All columns of ``df`` plus ``piece_ids`` (binary, little-endian 32-bit ids), in place of a column of this name."""
+    df = df.drop("piece_ids")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "piece_ids binary"])
     return df.mapInArrow(_encode(model, df.columns.index(text)), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "piece_ids") -> DataFrame:
-    """All columns of ``df`` plus ``decoded``."""
+    """All columns of ``df`` plus ``decoded``, in place of a column of this name."""
+    df = df.drop("decoded")
     at = df.columns.index(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,28 +183,33 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(with_text: bool, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def detect(df: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``df`` plus ``pii_spans``, which takes the place of a column of this name."""
+    df = df.drop("pii_spans")
+    column = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(column).to_pylist()
-            found = [find(t) if t else [] for t in texts]
-            spans = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found], kind)
-            columns, names = list(b.columns), list(b.schema.names)
-            if with_text:
-                columns[column] = pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "pii_spans_"])
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] if t else [] for t in b.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _SPANS_ARROW)], names=[*b.schema.names, "pii_spans"])
 
-    return run
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"pii_spans {_SPANS}"])
+    return df.mapInArrow(run, schema)
 
 
-def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
-    """All columns of ``df`` plus ``pii_spans_``; with ``redacted`` the text has marks in place of the spans."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"pii_spans_ {_SPANS}"])
-    return df.mapInArrow(_scan(redacted, df.columns.index(text)), schema)
+def redacted(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with marks in place of the spans; null texts stay null."""
+    column = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [redact(t, find(t)) if t else t for t in b.column(column).to_pylist()]
+            yield b.set_column(column, b.schema.field(column), pa.array(texts, b.schema.field(column).type))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
