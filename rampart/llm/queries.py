@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.llm import decontaminate, htmltext, idstore, langid, neardup, pieces, pii, quality, storage, substrings
+from rampart.llm import decontaminate, htmltext, idstore, langid, neardup, pieces, pii, quality, search, storage, substrings
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,6 +59,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.report(table(spark, sf_dir, "pages"))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_langid": op8_langid,
     "op9_html": op9_html,
+    "op10_search": op10_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +130,15 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT doc_id, item_id, max(row(covered, n)) AS b FROM ok GROUP BY ALL)
         SELECT doc_id, item_id, b[1]::BIGINT AS covered, b[2]::BIGINT AS n_tokens FROM best
     """,
+    "op10_search": rf"""
+        WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        tf AS (SELECT doc_id, w, count(*) AS tf FROM word GROUP BY ALL),
+        len AS (SELECT doc_id, count(*) AS n FROM word GROUP BY ALL),
+        stats AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) AS docs, (SELECT sum(n) FROM len) AS words),
+        idf AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY w, docs),
+        gain AS (SELECT doc_id, w, idf * tf * {search.K1 + 1} / (tf + {search.K1} * ({1 - search.B} + {search.B} * n / (words / docs))) AS gain FROM tf JOIN len USING (doc_id) JOIN idf USING (w), stats),
+        score AS (SELECT q.doc_id AS query_id, gain.doc_id, round(sum(q.tf * gain), {search.DECIMALS}) AS score FROM tf q JOIN gain USING (w) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+        ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM score)
+        SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= {search.TOP}
+    """,
 }
