@@ -19,8 +19,11 @@ An empty table gives empty files.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,19 +50,29 @@ class Encoder:
 
     CACHED = 300_000
     #: White space but for single spaces and newlines: texts with any of it are encoded in one piece.
-    _ODD = ("  ", " \n", "\n ", "\n\n", *"\0\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+    _ODD = ("  ", " \n", "\n ", "\n\n", *"\0\1\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
     _AFTER = ",.!?;:|%&#$*"
 
     def __init__(self, path: str, end_id: int | None) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at once
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True  # in a text, the special tokens' strings are ordinary
         self.end = end_id
         self.type = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.bases: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cuttable = self._cuttable()
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that are their own sign
+        other = [b for b in range(256) if b not in plain]
+        self.sign = {b: chr(256 + k) for k, b in enumerate(other)} | {b: chr(b) for b in plain}
+        # A word of letters, or punctuation alone, is one unit of the pre-tokenizer: the model takes it as it is.
+        self.direct = self.cuttable and all([x.id for x in self.t.model.tokenize(self._signs(w))] == self.t.encode(w, add_special_tokens=False).ids for w in (" the", "naïve", " Größe", "日本", "%%%", ",", " qzxw"))
+
+    def _signs(self, text: str) -> str:
+        """The signs that stand for the text's bytes."""
+        return text.encode().decode("latin-1").translate(self.sign)
 
     def _cuttable(self) -> bool:
         """Whether this file's own pre-tokenizer cuts at these places."""
@@ -69,30 +82,31 @@ class Encoder:
         return [x for x, _ in pre.pre_tokenize_str("ab, cd\nef 1.\ng%%%")] == ["ab", ",", "Ġcd", "Ċ", "ef", "Ġ1", ".", "Ċ", "g", "%%%"]
 
     def parts(self, text: str) -> list[str]:
-        """What stands between spaces; a sign that no other part has opens the one without a space before it."""
-        words = [text] if not self.cuttable or any(x in text for x in self._ODD) or text[0] in " \n" or text[-1] in " \n" else text.split(" ")
+        """What stands after spaces; the sign \\0 opens what has no space before it, \\1 a text in one piece."""
+        if not self.cuttable or any([x in text for x in self._ODD]) or text[0] in " \n" or text[-1] in " \n":
+            return ["\1" + text]
+        words = text.split(" ")
         words[0] = "\0" + words[0]
         return words
 
-    def _bases(self, word: str) -> list[str]:
-        text = word[1:] if word[0] == "\0" else " " + word
-        if not self.cuttable or any(x in text for x in self._ODD):
-            return [text]
+    def _joined(self, word: str) -> list[str] | None:
+        """The parts of a part that ends in punctuation or has newlines; none if it has no parts."""
+        if word[0] == "\1" or (word[-1] not in self._AFTER and "\n" not in word):
+            return None
         out = []
-        for k, line in enumerate(text.split("\n")):
+        for k, line in enumerate(word.split("\n")):
             if k:
-                out.append("\n")
+                out.append("\0\n")
+                line = "\0" + line
             core = line.rstrip(self._AFTER)
-            if core and core != line and core[-1].isalnum():
-                out += [core, line[len(core) :]]
-            elif line:
+            if core != line and core and core[-1].isalnum():
+                out += [core, "\0" + line[len(core) :]]
+            elif line != "\0":
                 out.append(line)
-        return out
+        return out if len(out) > 1 else None
 
-    @staticmethod
-    def _missing(wanted: set[str], cache: tuple[dict, dict]) -> list[str]:
-        young, old = cache
-        new = []
+    def _missing(self, wanted: set[str]) -> list[str]:
+        young, old, new = self.young, self.old, []
         for w in wanted.difference(young):
             ids = old.get(w)
             if ids is None:
@@ -102,15 +116,29 @@ class Encoder:
         return new
 
     def _learn(self, words: set[str]) -> None:
-        bases = {w: self._bases(w) for w in self._missing(words, self.words)}
-        new, known = self._missing({b for x in bases.values() for b in x}, self.bases), self.bases[0]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, self.t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.type).tobytes()
-        young = self.words[0]
-        for w, x in bases.items():
-            young[w] = known[x[0]] if len(x) == 1 else b"".join([known[b] for b in x])
+        young, single, joined = self.young, [], []
+        for w in self._missing(words):
+            parts = self._joined(w)
+            if parts:
+                joined.append((w, parts))
+            else:
+                single.append(w)
+        single += self._missing({p for _, x in joined for p in x}.difference(single))
+        code = "H" if self.type.itemsize == 2 else "I"
+        texts, whole = [], []
+        tokenize = self.t.model.tokenize
+        for w in single:
+            text = w[1:] if w[0] in "\0\1" else " " + w
+            if self.direct and ((text[1:] if text[0] == " " else text).isalpha() or not text.strip(self._AFTER)):
+                young[w] = array(code, [x.id for x in tokenize(self._signs(text))]).tobytes()
+            else:
+                whole.append(w)
+                texts.append(text)
+        for k in range(0, len(whole), 4096):
+            for w, e in zip(whole[k : k + 4096], self.t.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
+                young[w] = array(code, e.ids).tobytes()
+        for w, parts in joined:
+            young[w] = b"".join([young[p] for p in parts])
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         end = b"" if self.end is None else np.array([self.end], self.type).tobytes()
@@ -122,15 +150,13 @@ class Encoder:
                 signs += len(texts[k] or "")
                 k += 1
             self._learn(set().union(*some))
-            young = self.words[0]
+            young = self.young
             for words in some:
                 yield b"".join(map(young.__getitem__, words)) + end
             if signs > 4_000_000:
-                self.words, self.bases = ({}, {}), ({}, {})
-            if len(self.words[0]) > self.CACHED:
-                self.words = ({}, self.words[0])
-            if len(self.bases[0]) > self.CACHED:
-                self.bases = ({}, self.bases[0])
+                self.young, self.old = {}, {}
+            elif len(young) > self.CACHED:
+                self.young, self.old = {}, young
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -172,6 +198,7 @@ _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id"
 
 def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # caches of many strings and no cycles
         e, seen = encoder(path, end_id), set()
         for b in batches:
             for k in range(0, b.num_rows, 512):

@@ -16,6 +16,7 @@ repeated rows give repeated results.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -273,6 +274,7 @@ def codec(path: str) -> Codec:
 
 def _encode(path: str, column: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # caches of many strings and no cycles
         c = codec(path)
         for b in batches:
             for k in range(0, b.num_rows, 512):
@@ -309,6 +311,7 @@ def report(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text"
     """Per row: doc_id, n_ids, the CRC-32 of its ids, and whether decoding gives the text back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         c = codec(model)
         for b in batches:
             for k in range(0, b.num_rows, 512):
