@@ -5,9 +5,9 @@
 2. A sketch hashes all labelled k-mers, takes the smallest few and keeps them in text order. Two texts share it with
    about the probability similarity ** few, and only if the shared k-mers come in one order: it is sensitive to edits
    and moves, not only to sets. Sixteen sketches miss a pair of similarity 0.8 about once in ten million times.
-3. Texts that share a sketch are candidates. Each is held against the smallest text of its bucket; then, round by
-   round, against others of its buckets that are not in its class yet: all of them in small buckets, neighbours in
-   several orders in large ones. Work is in proportion to the bucket, with no cap on its size.
+3. Texts that share a sketch are candidates. Each is held against the smallest text of its bucket, and against others
+   that are not in its class yet: all of them in small buckets, neighbours in an order that changes with the round in
+   large ones. Work is in proportion to the bucket, with no cap on its size.
 4. Verification aligns two k-mer sequences: shared k-mers are matched in order, within the band of shifts that the
    threshold allows. With m matches, the similarity is m / (n1 + n2 - m); 0.8 or more makes a link.
 5. Classes are the connected components of the links.
@@ -36,8 +36,8 @@ from rampart.llm import kernels as K
 KMER, SKETCHES, FEW, SIMILAR = 5, 16, 2, 0.8
 #: Buckets of up to so many members compare all of them, as often as there are members.
 SMALL = 8
-#: Orders in which neighbours in a large bucket are compared, each round, and the rounds at most.
-ROUNDS = 4
+#: Rounds at most; each compares neighbours of large buckets in another order.
+ROUNDS = 3
 
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[128:] = False
@@ -150,10 +150,10 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node and its labelled k-mers, 32 bits of each."""
     for batch in batches:
-        for _, _, data, at in K.chunks(pc.utf8_lower(K.strings(batch.column(0)))):
-            labelled, begin, one, two = kmers(data, at)
+        for r0, r1, data, at in K.chunks(pc.utf8_lower(K.strings(batch.column(1)))):
+            labelled, begin, _, _ = kmers(data, at)
             small = (labelled >> K.U(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([_nodes(one, two), pa.array([small[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], names=["node", "kmers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), pa.array([small[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], names=["node", "kmers"])
 
 
 def _linked(similar: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -173,28 +173,23 @@ def _pairs(rows: DataFrame, similar: float) -> DataFrame:
     return rows.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _star(members: DataFrame) -> DataFrame:
-    """Each member of a bucket with its smallest; joined on the bucket, whose statistics are one row."""
-    head = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(head.select("bucket", "head"), "bucket").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("y"), F.col("head.n").alias("ny"))
-
-
-def _others(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members of one bucket and different classes: all in small buckets, else the heads of the classes with
-    the smallest head, and neighbours in an order that changes with the turn, within salted parts of the bucket."""
-    heads = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("of_class"), F.min(F.struct("node", "n")).alias("first"))
-    sizes = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("of_class").alias("size"), F.min("first").alias("head")).where("classes > 1")
+def _together(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of members of one bucket and different classes (``root``): with the smallest member; all of them in small
+    buckets; in large ones neighbours in an order that changes with the turn, within salted parts of the bucket."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "root")).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     mixed = members.join(sizes.select("bucket", "size", "head"), "bucket")
-    small = mixed.where(F.col("size") <= SMALL).select("bucket", "node", "n", "root")
-    right = small.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("other"))
-    all_ = small.join(right, "bucket").where("node < y AND root != other").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny")
-    large = mixed.where(F.col("size") > SMALL)
-    firsts = heads.join(sizes.where(F.col("size") > SMALL).select("bucket", "head"), "bucket").select(F.col("first.node").alias("x"), F.col("first.n").alias("nx"), F.col("head.node").alias("y"), F.col("head.n").alias("ny"))
+    star = mixed.where("root != head.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("y"), F.col("head.n").alias("ny"))
     order = F.xxhash64("node", F.lit(turn))
-    salt = F.pmod(F.xxhash64("node", F.lit(-turn)), F.ceil(F.col("size") / 512))
+    small = F.col("size") <= SMALL
+    # A part is a whole small bucket, or one of the salted parts of a large one, of some 500 members.
+    salt = F.when(small, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("size") / 512)))
+    parts = mixed.select("bucket", "node", "n", "root", small.alias("small"), order.alias("order"), salt.alias("salt"))
     by = W.partitionBy("bucket", "salt").orderBy("order")
-    near = large.select("bucket", "node", "n", "root", order.alias("order"), salt.alias("salt")).withColumns({"y": F.lag("node").over(by), "ny": F.lag("n").over(by), "other": F.lag("root").over(by)})
-    return all_.unionByName(firsts).unionByName(near.where("root != other").select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny"))
+    back = parts.select("node", "n", "root", "small", *(F.lag(F.struct("node", "n", "root"), k).over(by).alias(f"p{k}") for k in range(1, SMALL)))
+    # In a small bucket each member meets all before it; in a large one the two before it.
+    pairs = back.select("node", "n", "root", F.explode(F.when(F.col("small"), F.array(*(f"p{k}" for k in range(1, SMALL)))).otherwise(F.array("p1", "p2"))).alias("p"))
+    near = pairs.where("p IS NOT NULL AND p.root != root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
+    return star.unionByName(near)
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -202,36 +197,33 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = storage.materialize(known.mapInArrow(_sketched, _TEXTS), "sketches")
-    own = texts.groupBy("node").agg(F.min("doc_id").alias("first"))
-    # One row of each text goes on: that of its smallest doc_id.
-    single = texts.join(own, "node").where("doc_id = first").select("node", "n", "sketches").dropDuplicates(["node"])
+    # One row of each text goes on: that of its smallest doc_id. Its copies have the same k-mers.
+    single = texts.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"))
+    single = storage.materialize(single.select("node", "first.doc_id", "first.row", "n", "sketches"), "texts")
     buckets = single.select("node", "n", F.explode("sketches").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = storage.materialize(buckets.join(shared, "bucket"), "buckets")
-    wanted = members.select("node").distinct()
-    # The text of each node that has candidates; equal texts come as one.
-    first = wanted.join(own, "node").select(F.col("first").alias("doc_id")).distinct()
-    short = known.join(first, "doc_id").select("text").mapInArrow(_short, "node binary, kmers binary")
-    short = storage.materialize(short.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "kmers")
+    wanted = members.select("node").distinct().join(single, "node").select("node", "doc_id", "row")
+    short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(_short, "node binary, kmers binary")
+    short = storage.materialize(short.dropDuplicates(["node"]), "kmers")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (short.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}")) for x in ("a", "b"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb")
         return both.mapInArrow(_linked(similar), "a binary, b binary")
 
-    tried = storage.materialize(_pairs(_star(members), similar), "pairs")
-    links = storage.materialize(verified(tried), "verified")
-    roots = graph.components(links)
-    for turn in range(1, ROUNDS + 1):
-        classed = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        new = storage.materialize(_pairs(_others(classed, turn), similar).join(tried, ["a", "b"], "left_anti"), "pairs")
+    classed, tried, links, roots = members.withColumn("root", F.col("node")), None, None, None
+    for turn in range(ROUNDS):
+        new = _pairs(_together(classed, turn), similar)
+        new = storage.materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = storage.materialize(verified(new), "verified")
-        if not more.limit(1).count():
+        if tried is not None and not more.limit(1).count():
             break
-        tried, links = tried.unionByName(new), links.unionByName(more)
+        tried, links = (new, more) if tried is None else (tried.unionByName(new), links.unionByName(more))
         roots = graph.components(links)
-    named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
+        classed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = single.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    smallest = storage.materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     by_node = named.join(smallest, "root").select("node", "class_id")
     return texts.select("doc_id", "row", "node").join(by_node, "node").select("doc_id", "row", "class_id").distinct()
 
