@@ -1,0 +1 @@
+"""Prompt-injection screening and text processing as Spark plans."""

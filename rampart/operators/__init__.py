@@ -1,0 +1 @@
+"""Relational forms of detection: tokens, keywords, phrases, layers and scores as tables."""
