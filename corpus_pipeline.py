@@ -49,9 +49,10 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids themselves, with their number and CRC-32."""
-    encoded = pieces.encode(docs.drop("n_ids", "ids_crc32"), tokenizer_path("piece_bpe_32k.model"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), "n_ids bigint, ids_crc32 bigint"])
-    return encoded.mapInArrow(_digests, schema)
+    docs = docs.drop("piece_ids", "n_ids", "ids_crc32")
+    encoded = pieces.encoding(tokenizer_path("piece_bpe_32k.model"), docs.columns.index("text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "piece_ids binary, n_ids bigint, ids_crc32 bigint"])
+    return docs.mapInArrow(lambda batches: _digests(encoded(batches)), schema)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

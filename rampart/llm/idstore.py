@@ -19,7 +19,6 @@ An empty table gives empty files.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import zlib
@@ -198,26 +197,26 @@ _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id"
 
 def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # caches of many strings and no cycles
-        e, seen = encoder(path, end_id), set()
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                rows: list[tuple] = []
-                streams = [np.frombuffer(x, e.type) for x in e.encode_many(part.column(1).to_pylist())]
-                for doc, ids, ends in zip(part.column(0).to_pylist(), streams, cut(streams), strict=True):
-                    digests, last = [], 0
-                    for end in ends:
-                        payload = ids[last:end].tobytes()
-                        digests.append(d := _digest(payload))
-                        if d not in seen:
-                            if len(seen) > 500_000:  # forgetting costs a second copy in the shuffle, never in the store
-                                seen.clear()
-                            seen.add(d)
-                            rows.append((0, d, None, None, None, payload))
-                        last = end
-                    rows.append((1, _digest(repr(doc).encode()), doc, len(ids), digests, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
+        with K.no_cycles():
+            e, seen = encoder(path, end_id), set()
+            for b in batches:
+                for k in range(0, b.num_rows, 512):
+                    part = b.slice(k, 512)
+                    rows: list[tuple] = []
+                    streams = [np.frombuffer(x, e.type) for x in e.encode_many(part.column(1).to_pylist())]
+                    for doc, ids, ends in zip(part.column(0).to_pylist(), streams, cut(streams), strict=True):
+                        digests, last = [], 0
+                        for end in ends:
+                            payload = ids[last:end].tobytes()
+                            digests.append(d := _digest(payload))
+                            if d not in seen:
+                                if len(seen) > 500_000:  # forgetting costs a second copy in the shuffle, never in the store
+                                    seen.clear()
+                                seen.add(d)
+                                rows.append((0, d, None, None, None, payload))
+                            last = end
+                        rows.append((1, _digest(repr(doc).encode()), doc, len(ids), digests, None))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
 
     return run
 

@@ -6,7 +6,9 @@ span is one subtraction and one product, whatever its length; a final mix spread
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,19 @@ def powers(which: int, inverse: bool, n: int) -> np.ndarray:
     return have[:n]
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """No search for cycles while caches of many strings are filled; what gathered is collected at the end of the task."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+        gc.collect()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on all input bits."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -16,7 +16,6 @@ repeated rows give repeated results.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from array import array
@@ -27,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.llm import kernels as K
+
 MARK = "▁"
 
 
@@ -74,7 +75,7 @@ class Vocabulary:
     def may_follow(self, left: str, right: str) -> bool:
         ok = self.follows.get((left, right))
         if ok is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 200_000:
                 self.follows.clear()
             ok = self.follows[left, right] = self.merged(left + right) == [left, right]
         return ok
@@ -154,7 +155,7 @@ class Encoder:
 class Codec:
     """Encoding and decoding of whole texts, with a bounded cache of the ids of words."""
 
-    CACHED = 200_000  # words in each of two generations
+    CACHED = 150_000  # words in each of two generations
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
@@ -272,15 +273,17 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _encode(path: str, column: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encoding(path: str, column: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches in, the same with a last column ``piece_ids`` out."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # caches of many strings and no cycles
-        c = codec(path)
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = list(c.encode_many(part.column(column).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "piece_ids"])
+        with K.no_cycles():
+            c = codec(path)
+            for b in batches:
+                for k in range(0, b.num_rows, 512):
+                    part = b.slice(k, 512)
+                    ids = list(c.encode_many(part.column(column).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "piece_ids"])
 
     return run
 
@@ -289,7 +292,7 @@ def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """All columns of ``df`` plus ``piece_ids`` (binary, little-endian 32-bit ids), in place of a column of this name."""
     df = df.drop("piece_ids")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "piece_ids binary"])
-    return df.mapInArrow(_encode(model, df.columns.index(text)), schema)
+    return df.mapInArrow(encoding(model, df.columns.index(text)), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "piece_ids") -> DataFrame:
@@ -311,22 +314,22 @@ def report(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text"
     """Per row: doc_id, n_ids, the CRC-32 of its ids, and whether decoding gives the text back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        c = codec(model)
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                texts = part.column(1).to_pylist()
-                ids = list(c.encode_many(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
-                    ],
-                    names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
-                )
+        with K.no_cycles():
+            c = codec(model)
+            for b in batches:
+                for k in range(0, b.num_rows, 512):
+                    part = b.slice(k, 512)
+                    texts = part.column(1).to_pylist()
+                    ids = list(c.encode_many(texts))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array([len(x) // 4 for x in ids], pa.int64()),
+                            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                            pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                        ],
+                        names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
+                    )
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean")
