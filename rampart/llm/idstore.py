@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from rampart.llm import kernels as K
 
 #: Ids in a chunk: at least, about, at most. The rolling hash sees the last ROLL ids.
-SMALLEST, USUAL, LARGEST, ROLL = 128, 512, 4096, 16
+SMALLEST, USUAL, LARGEST, ROLL = 256, 1024, 8192, 16
 DIGEST = 16
 
 
@@ -47,7 +47,7 @@ class Encoder:
     punctuation after it, where byte-level pre-tokenization cuts them anyhow; the ids of the parts are kept in bounded
     caches of two generations."""
 
-    CACHED = 300_000
+    CACHED = 450_000
     #: White space but for single spaces and newlines: texts with any of it are encoded in one piece.
     _ODD = ("  ", " \n", "\n ", "\n\n", *"\0\1\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
     _AFTER = ",.!?;:|%&#$*"
