@@ -89,6 +89,7 @@ class Model:
         own = np.concatenate([own, np.ones((size * BLOCK - n, k))]).reshape(size, BLOCK, k)
         fresh = np.zeros(size * BLOCK, bool)
         fresh[first[:-1][np.diff(first) > 0]] = True
+        fresh[n:] = True  # the padding tells the last row nothing
         fresh = fresh.reshape(size, BLOCK)
         start, step = np.exp(self.start - self.start.max()), np.exp(self.step - self.step.max())
         product = np.broadcast_to(np.eye(k), (size, k, k)).copy()

@@ -1,0 +1,402 @@
+"""Each operator against brute force, exact round trips or held-out accuracy, and on awkward inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
+from pyspark.sql import functions as F
+
+from rampart.llm import decontaminate, graph, htmltext, idstore, langid, neardup, pieces, pii, quality, search, substrings
+from rampart.llm import kernels as K
+from rampart.llm.queries import tokenizer_path
+
+DOCS = "doc_id bigint, text string, node string, row string, score string"
+
+
+def docs(spark, rows):
+    """With extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "n", "r", "s") for i, t in rows], DOCS)
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(["ba", "ne", "ti", "ro", "lu", "sem"]) for _ in range(r.randint(1, 4))) for _ in range(n)]
+
+
+AWKWARD = [(None, "null id"), (1, None), (2, ""), (3, "x"), (4, "é " * 30_000), (5, "same text twice"), (5, "same text twice"), (6, "\n\t 　")]
+
+
+# --- substrings ----------------------------------------------------------------------------------------------------------
+
+
+def brute_passages(rows, length=50):
+    first = {}
+    split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    for d, w in split:
+        for i in range(len(w) - length + 1):
+            k = tuple(w[i : i + length])
+            if d is not None:
+                first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - length + 1):
+            if d is not None and first[tuple(w[i : i + length])] < d:
+                gone |= set(range(i, i + length))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out.append((d, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+def test_substrings_equal_brute_force(spark):
+    base, shared = words(400, 1), words(70, 2)
+    rows = [(10, " ".join(base)), (11, " ".join(base[:200] + ["changed"] + base[201:])), (12, " ".join(words(60, 3) + shared + words(30, 4)))]
+    rows += [(20 + k, "\n".join(words(20, 50 + k) + shared[k % 5 : 65] + words(25, 90 + k))) for k in range(25)]
+    rows += [(60, " ".join(shared[:49])), (61, " ".join(["a"] * 300)), (62, " ".join(["a"] * 120)), (9, " ".join(base[100:160])), *AWKWARD]
+    got = substrings.deduplicate(docs(spark, rows)).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, brute_passages(rows)))
+    assert substrings.deduplicate(docs(spark, [])).count() == 0
+
+
+# --- decontamination -------------------------------------------------------------------------------------------------------
+
+ITEM = "A train leaves the station at 5 km per hour and passes Alice after 5 minutes while the other train waits near the old bridge"
+
+
+def test_decontamination(spark):
+    lead = "some quiet prose that has nothing to do with it at all. "
+    rows = [
+        (1, lead + ITEM + " and more prose follows here."),
+        (2, lead + ITEM.replace("5", "70").replace("Alice", "Robert")),
+        (3, lead + ITEM.replace("5 km", "70 km")),  # the same value in the item, two values here
+        (4, lead * 5),
+        (5, lead + " ".join(ITEM.split()[:9])),
+        (7, lead + ITEM),
+        (7, lead + "another text of that id, clean as can be, with words enough"),
+        *[(100 + k, f"{lead} {k} {ITEM}") for k in range(40)],
+        *AWKWARD,
+    ]
+    bench = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (None, ITEM)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.report(docs(spark, rows), bench).collect()}
+    assert got == {(d, 1) for d in (1, 2, 7, *range(100, 140))}
+    kept = decontaminate.remove(docs(spark, rows), bench)
+    assert kept.columns == ["doc_id", "text", "node", "row", "score"]
+    left = sorted((r.doc_id, r.text) for r in kept.where("doc_id < 10 AND text IS NOT NULL").select("doc_id", "text").collect())
+    assert [d for d, _ in left] == [2, 3, 3, 4, 4, 5, 5, 5, 6, 7] or [d for d, _ in left].count(7) == 1
+    assert decontaminate.report(docs(spark, []), bench).count() == 0 and decontaminate.report(docs(spark, rows), bench.limit(0)).count() == 0
+    plan = decontaminate.report(docs(spark, rows), bench)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- personal data -----------------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(t):
+    def ok(k, m):
+        digits = re.sub(r"[^0-9]", "", m)
+        if k == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if k == "card":
+            total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+            return 13 <= len(digits) <= 19 and total % 10 == 0
+        return k == "email" or 9 <= len(digits) <= 15
+
+    return [(k, *m.span()) for k in BASE for m in re.finditer(BASE[k], t) if ok(k, m.group())]
+
+
+def test_pii_equals_patterns():
+    r = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(r.choice("01234 4242-.+@a%()\n é") for _ in range(r.randint(0, 60)))
+        assert [x for x in pii.find(t) if x[0] in pii.BASE] == brute_spans(t), t
+    assert pii.find("1" * 5000 + ".1.1.1")[:1] == []
+    assert ("iban", 3, 25) in pii.find("to DE89370400440532013000 now") and ("url", 4, 21) in pii.find("see https://a.b/c?d=e.")
+
+
+def test_pii_report(spark):
+    rows = [*AWKWARD, (9, "é a@b.co and 1.2.3.4, card 4242 4242 4242 4242; +1 (017) 555-7713")]
+    got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.report(docs(spark, rows)).collect()}
+    assert (9, 1, 1, 1, 1) in got and (1, 0, 0, 0, 0) in got
+    r = [x for x in pii.report(docs(spark, rows)).collect() if x.doc_id == 9][0]
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(rows[-1][1])).encode()).hexdigest()
+    clean = pii.redacted(docs(spark, rows)).where("doc_id = 9").first()
+    assert clean.text == "é <email> and <ip>, card <card>; <phone>" and clean.node == "n"
+    assert pii.report(docs(spark, [])).count() == 0
+
+
+# --- pieces ------------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp, c, r = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Codec(path), random.Random(4)
+    pool = [p.replace("▁", " ") for p in c.v.rank]
+    texts = ["".join(r.choice("aabcdett  \n\té€😀▁<0x>世_,.!") for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(1500)] + ["", " ", "a" * 3000, " " * 99 + "x"]
+    for t, ids in zip(texts, c.encode_many(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == sp.encode(t), t
+    e = pieces.Encoder(c.v)
+    for t in texts[:300]:
+        out = [i for k in range(0, len(t) + 1, 3) for i in e.feed(("▁" + t.replace(" ", "▁"))[k : k + 3])] if t else []
+        assert out + e.finish() == sp.encode(t)
+    e.feed("▁" + "ab" * 5000)
+    assert len(e.window) < 200  # what is left open stays bounded
+    got = pieces.report(docs(spark, AWKWARD), path).collect()
+    assert all(x.round_trip for x in got) and len(got) == len(AWKWARD)
+    back = pieces.decode(pieces.encode(docs(spark, AWKWARD), path), path).where("text IS NOT NULL AND text != decoded")
+    assert back.count() == 0 and pieces.report(docs(spark, []), path).count() == 0
+
+
+# --- near duplicates -----------------------------------------------------------------------------------------------------------
+
+
+def test_alignment_equals_longest_common_subsequence():
+    r = random.Random(6)
+    for _ in range(300):
+        a = r.sample(range(60), r.randint(1, 40))
+        b = a[:] if r.random() < 0.5 else r.sample(range(60), r.randint(1, 40))
+        for _ in range(r.randint(0, 4)):
+            b[r.randrange(len(b))] = 100 + r.randrange(50)
+        b = list(dict.fromkeys(b))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        m = table[-1][-1]
+        s = m / (len(a) + len(b) - m)
+        assert neardup.aligned(np.array(a, np.uint32), np.array(b, np.uint32), 0.5) == pytest.approx(s if s >= 0.5 else 0.0)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r, rows = random.Random(7), []
+    for g in range(12):
+        base = words(150, 700 + g)
+        for k in range(1 + 3 * (g % 4)):
+            own = base[:]
+            for _ in range(k):
+                own[r.randrange(len(own))] = f"x{k}"
+            rows.append((len(rows) + 10, " ".join(own)))
+    big = words(120, 999)
+    rows += [(200 + k, " ".join([*big[:k], "new", *big[k + 1 :]])) for k in range(60)]  # one large group
+    rows += [(300, "two words"), (301, "Two, words!"), *AWKWARD]
+    got = {(x.doc_id, x.class_id) for x in neardup.report(docs(spark, rows)).collect()}
+    known = [(d, t) for d, t in rows if d is not None and t and re.search("[a-z0-9é]", t)]
+    column = pc.utf8_lower(K.strings(pa.array([t for _, t in known])))
+    grams = []
+    for _, _, data, at in K.chunks(column):
+        labelled, begin, _, _ = neardup.kmers(data, at)
+        grams += [labelled[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    root = list(range(len(known)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(known)):
+        for j in range(i):
+            if neardup.aligned(grams[i], grams[j], 0.8):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(known):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = {(d, least[find(i)]) for i, (d, _) in enumerate(known)}
+    assert want <= got
+    assert {x for x in got - want} == {(None, None), (1, 1), (2, 2), (6, 6)}
+    kept = neardup.keep_one(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "node", "row", "score"]
+    assert kept.where("doc_id >= 200 AND doc_id < 300").count() == len({c for d, c in want if 200 <= d < 300})
+    assert kept.where("doc_id = 5").count() == 1 and kept.where("doc_id IS NULL").count() == 1
+    assert neardup.report(docs(spark, [])).count() == 0
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 8), (8, 9), (7, 7), *[(20, k) for k in range(21, 60)]]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**{k: 1 for k in range(1, 7)}, 8: 8, 9: 8, **{k: 20 for k in range(20, 60)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- id store --------------------------------------------------------------------------------------------------------------------
+
+
+def test_id_store_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = tokenizer_path("byte_bpe_50k.json"), f"file://{tmp_path}/ids"
+    same = " ".join(words(3000, 8))
+    rows = [*AWKWARD, (7, same), (8, same), (9, "<|endoftext|> it's, don't.  x\n\ny")]
+    idstore.write(docs(spark, rows), folder, path, end_id=2)
+    idstore.verify(spark, folder)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    ids = {(d, x): [*t.encode(x or "", add_special_tokens=False).ids, 2] for d, x in rows}
+    got = idstore.read(spark, folder, path).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got) == sorted(ids[d, x] for d, x in rows)
+    crc = {(r.doc_id, r.start): r.ids_crc32 for r in idstore.summary(spark, folder, path).collect()}
+    assert all(crc[r.doc_id, r.start] == zlib.crc32(bytes(r.ids)) for r in got)
+    chunks = spark.read.parquet(f"{folder}/store").where("kind = 0")
+    assert chunks.count() == chunks.select("key").distinct().count()
+    manifest = spark.read.parquet(f"{folder}/manifest").where("part = -1").first()
+    assert (manifest.n_docs, manifest.n_tokens) == (len(rows), sum(r.n_tokens for r in got))
+    with pytest.raises(Exception, match="damaged"):
+        list(idstore._opened([pa.RecordBatch.from_arrays([pa.array([b"x" * 16]), pa.array([b"ab"])], names=["digest", "payload"])], 2, False))
+    idstore.write(docs(spark, []), f"{folder}0", path, end_id=2)
+    assert idstore.summary(spark, f"{folder}0", path).count() == 0
+
+
+def test_joined_crc_and_merkle():
+    parts = [b"abc", b"", b"x" * 1000, b"end"]
+    assert idstore.joined_crc((len(p), zlib.crc32(p)) for p in parts) == zlib.crc32(b"".join(parts))
+    for n in range(9):
+        tree = idstore.Merkle()
+        leaves = [hashlib.sha256(bytes([k])).digest() for k in range(n)]
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == idstore.merkle(leaves)
+
+
+# --- learned operators --------------------------------------------------------------------------------------------------------------
+
+
+def test_quality(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for k in range(240):
+        w, bad = words(40, 3000 + k), k % 3 == 0
+        rows.append((k, " | ".join(w).upper() if bad else " ".join(w).capitalize() + "."))
+        labels.append((k, 0 if bad else 1))
+    got = quality.report(docs(spark, [*rows, (1000, None), (1001, "")]), spark.createDataFrame([*labels, (None, 1), (1000, None)], "doc_id bigint, quality int"))
+    rows_ = got.collect()
+    known = dict(labels)
+    held = [x for x in rows_ if x.doc_id in known and x.held_out]
+    assert len(held) > 50 and all(x.predicted == known[x.doc_id] for x in held)
+    assert all(0 <= x.score <= 1 for x in rows_) and len(rows_) == 242
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in rows_)
+    none = quality.report(docs(spark, AWKWARD), spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert {x.score for x in none.collect()} == {0.5} and r
+
+
+def test_marginals_equal_plain_forward_backward():
+    rng = np.random.default_rng(1)
+    m = langid.Model(["a", "b", "c"], np.empty(0, K.U), np.empty(0), rng.normal(size=3), rng.normal(size=(3, 3)))
+    first = np.array([0, 5, 5, 300, 301, 460])
+    scores = rng.normal(size=(460, 3)) * 3
+    got = m.marginals(scores, first)
+    for x, y in zip(first[:-1], first[1:], strict=True):
+        if x == y:
+            continue
+        own = scores[x:y]
+        a, z = np.zeros_like(own), np.zeros_like(own)
+        a[0] = m.start + own[0]
+        for t in range(1, y - x):
+            a[t] = np.logaddexp.reduce(a[t - 1][:, None] + m.step, axis=0) + own[t]
+        for t in range(y - x - 2, -1, -1):
+            z[t] = np.logaddexp.reduce(m.step + (own[t + 1] + z[t + 1])[None, :], axis=1)
+        p = np.exp(a + z - np.logaddexp.reduce(a[-1]))
+        assert np.allclose(got[x:y], p, atol=1e-9)
+
+
+EN, FR = "the of and with house water morning friend".split(), "le de et avec maison eau matin ami".split()
+
+
+def test_language(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(EN if k % 2 else FR) for _ in range(30)), "en" if k % 2 else "fr") for k in range(120)]
+    rows += [(500, None, "en"), (501, "123 — !!", "fr"), (502, " ".join(EN * 3 + FR), None), (None, "le matin", "fr")]
+    got = {x.doc_id: x for x in langid.report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[k].lang_pred == ("en" if k % 2 else "fr") for k in range(120))
+    assert got[500].lang_pred == got[501].lang_pred == "und" and got[500].score == 0 and got[502].lang_pred == "en" and 0.6 < got[502].score < 0.9
+    assert langid.report(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+PAGE = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">Buy this thing now.</div><article><h1>Head</h1><p>One &amp;  two\nthree. And a longer sentence.<br><p>Four &lt;b&gt; five, as it goes on. More.</article><section id="comments"><p>I like this a lot. Great!</p></section><footer>&copy; me</footer></body></html>'
+
+
+def test_html(spark):
+    w = htmltext.weights()
+    assert htmltext.extract(PAGE, w) == "Head\nOne & two three. And a longer sentence.\nFour <b> five, as it goes on. More."
+    assert htmltext.extract(None, w) == htmltext.extract("", w) == htmltext.extract("<script>x", w) == ""
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "<p>" * 3000 + "word. " * 10, "x")], "page_id bigint, url string, html string, text string")
+    got = htmltext.report(pages).orderBy("page_id").collect()
+    assert [x.n_chars for x in got][:3] == [len(htmltext.extract(PAGE, w))] * 2 + [0] and len(got) == 4
+    wrong = total = 0
+    for page, label in htmltext.labelled_pages(60, seed=1234):
+        nodes, _ = htmltext.parse(page)
+        htmltext.infer(nodes, w)
+        wrong += sum((v.p >= 0.5) != label(v, nodes) for v in nodes[1:])
+        total += len(nodes) - 1
+    assert wrong < 0.02 * total
+
+
+def test_tree_marginals_equal_enumeration():
+    import itertools
+    import math
+
+    nodes, _ = htmltext.parse('<div class="post">a b.<p>c</p><ul><li>d</li></ul></div>')
+    w = htmltext.weights()
+    htmltext.infer(nodes, w)
+    own = [sum(w.get(f, 0.0) for f in htmltext.features(v)) for v in nodes]
+    total, on = 0.0, [0.0] * len(nodes)
+    for x in itertools.product((0, 1), repeat=len(nodes)):
+        e = sum(o for o, b in zip(own, x, strict=True) if b) + sum(w.get(f"{htmltext.relation(nodes[v.parent], v)}:{x[v.parent]}{x[k]}", 0.0) for k, v in enumerate(nodes) if k)
+        total += math.exp(e)
+        on = [a + math.exp(e) * b for a, b in zip(on, x, strict=True)]
+    assert [v.p for v in nodes] == pytest.approx([a / total for a in on])
+
+
+# --- search ----------------------------------------------------------------------------------------------------------------------------
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    r = random.Random(11)
+    vocabulary = words(80, 12)
+    rows = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 60)))) for k in range(7, 300)] + [(100, "x y"), *AWKWARD, (0, "")]
+    rows += [(400, rows[5][1]), (401, rows[5][1])]
+    known = [(d, re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())) for d, t in rows if d is not None and t is not None]
+    n, mean = len(known), sum(len(w) for _, w in known) / len(known)
+    df = {}
+    for _, w in known:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    got = {}
+    for x in search.report(docs(spark, rows), 5).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.doc_id, x.score))
+    asked = {d: w for d, w in known if d % 100 == 0 and w and d != 100}
+    for q, terms in asked.items():
+        scores = []
+        for d, w in known:
+            s = sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms if t in w)
+            if s > 0:
+                scores.append((-round(s, 4), d))
+        want = [(k + 1, d) for k, (_, d) in enumerate(sorted(scores)[:5])]
+        assert [(a, b) for a, b, _ in sorted(got[q])] == want
+    assert search.report(docs(spark, [])).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as c
+
+    assert [n for n, _ in c.STAGES] == ["language_id", "near_dedup", "decontaminate", "pii", "sentencepiece"]
+    r = random.Random(21)
+    rows = [(k, " ".join(r.choice(EN if k % 2 else FR) + str(r.randrange(9)) * 0 for _ in range(60)), "en" if k % 2 else "fr") for k in range(60)]
+    rows += [(100, rows[7][1], "en"), (101, "!!! 12", "en"), (102, None, "en"), (103, rows[9][1] + " a@b.co", "en"), (104, ITEM + " " + " ".join(EN * 4), "en")]
+    spark.createDataFrame([(*x, "s", 0) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x.doc_id: x for x in c.run(spark, str(tmp_path)).collect()}
+    assert not {100, 101, 102, 103, 104} & set(got) or got.get(103) is not None
+    assert not {100, 101, 102, 104} & set(got) and set(range(60)) <= set(got)
+    assert all("@" not in x.text and x.n_ids > 0 for x in got.values())
