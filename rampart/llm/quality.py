@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     rows = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("nth"), "label", "text")
     sparse = rows.mapInArrow(_sparse, "nth bigint, label int, index binary, value binary")
     one = sparse.repartition(1).sortWithinPartitions("nth", "index").mapInArrow(_trained, "weights binary")
-    return np.frombuffer(one.collect()[0]["weights"], np.float32)
+    made = one.collect()  # one row, or none without labels
+    return np.frombuffer(made[0]["weights"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def logits(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
