@@ -143,15 +143,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
         .where("first < last")
         .select("seed", "first", "settled")
     )
+    # Read back from files, both sides of the joins below are plain shuffles, whose large partitions Spark splits.
+    shared = storage.materialize(shared, "shared")
     members = storage.materialize(seeds.join(shared, "seed"), "members")
     one = members.where("settled AND doc_id > first").select("doc_id", "row", "lo", "hi")
     several = members.where("NOT settled")
-    contexts = several.groupBy("seed", "c1", "c2").agg(F.min("doc_id").alias("own"))
+    contexts = storage.materialize(several.groupBy("seed", "c1", "c2").agg(F.min("doc_id").alias("own")), "contexts")
     several = several.join(contexts, ["seed", "c1", "c2"])
     copies = several.where("doc_id > own").select("doc_id", "row", "lo", "hi")
     open_ = several.where("doc_id = own").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
     passages = storage.materialize(keyed(docs).join(open_, ["doc_id", "row"], "left").select("doc_id", "text", "row", "open").mapInArrow(_extend(length), _PASSAGES), "passages")
     earliest = passages.groupBy("w1", "w2").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("own < last").select("w1", "w2", "own")
+    earliest = storage.materialize(earliest, "earliest")
     hits = passages.join(earliest, ["w1", "w2"]).where("doc_id > own").select("doc_id", "row", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return one.unionByName(copies).unionByName(hits).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
 

@@ -87,7 +87,7 @@ def test_decontamination(spark):
     kept = decontaminate.remove(docs(spark, rows), bench)
     assert kept.columns == ["doc_id", "text", "node", "row", "score"]
     left = sorted((r.doc_id, r.text) for r in kept.where("doc_id < 10 AND text IS NOT NULL").select("doc_id", "text").collect())
-    assert [d for d, _ in left] == [2, 3, 3, 4, 4, 5, 5, 5, 6, 7] or [d for d, _ in left].count(7) == 1
+    assert [d for d, _ in left] == [2, 3, 3, 4, 4, 5, 5, 5, 6, 7]
     assert decontaminate.report(docs(spark, []), bench).count() == 0 and decontaminate.report(docs(spark, rows), bench.limit(0)).count() == 0
     plan = decontaminate.report(docs(spark, rows), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -392,11 +392,10 @@ def test_pipeline_stages(spark, tmp_path):
 
     assert [n for n, _ in c.STAGES] == ["language_id", "near_dedup", "decontaminate", "pii", "sentencepiece"]
     r = random.Random(21)
-    rows = [(k, " ".join(r.choice(EN if k % 2 else FR) + str(r.randrange(9)) * 0 for _ in range(60)), "en" if k % 2 else "fr") for k in range(60)]
+    rows = [(k, " ".join(r.choice(EN if k % 2 else FR) for _ in range(60)), "en" if k % 2 else "fr") for k in range(60)]
     rows += [(100, rows[7][1], "en"), (101, "!!! 12", "en"), (102, None, "en"), (103, rows[9][1] + " a@b.co", "en"), (104, ITEM + " " + " ".join(EN * 4), "en")]
     spark.createDataFrame([(*x, "s", 0) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {x.doc_id: x for x in c.run(spark, str(tmp_path)).collect()}
-    assert not {100, 101, 102, 103, 104} & set(got) or got.get(103) is not None
-    assert not {100, 101, 102, 104} & set(got) and set(range(60)) <= set(got)
+    assert set(got) == set(range(60))
     assert all("@" not in x.text and x.n_ids > 0 for x in got.values())
