@@ -5,9 +5,11 @@
 2. A sketch hashes all labelled k-mers, takes the smallest few and keeps them in text order. Two texts share it with
    about the probability similarity ** few, and only if the shared k-mers come in one order: it is sensitive to edits
    and moves, not only to sets. Sixteen sketches miss a pair of similarity 0.8 about once in ten million times.
-3. Texts that share a sketch are candidates. Each is held against the smallest text of its bucket, and against others
-   that are not in its class yet: all of them in small buckets, neighbours in an order that changes with the round in
-   large ones. Work is in proportion to the bucket, with no cap on its size.
+3. Texts that share a sketch are candidates, and every pair of candidates is compared unless the two are in one class
+   by other links already. First all pairs of small buckets are, and in large ones each text and the bucket's *hub*, the
+   text whose sketches the most texts share: in a group of copies that is their original. Then the pairs of large
+   buckets that are still in different classes are compared in blocks of bounded size; there, a count of the k-mers
+   that two texts share rules out most pairs before they are aligned.
 4. Verification aligns two k-mer sequences: shared k-mers are matched in order, within the band of shifts that the
    threshold allows. With m matches, the similarity is m / (n1 + n2 - m); 0.8 or more makes a link.
 5. Classes are the connected components of the links.
@@ -34,10 +36,10 @@ from rampart.llm import graph, storage
 from rampart.llm import kernels as K
 
 KMER, SKETCHES, FEW, SIMILAR = 5, 16, 2, 0.8
-#: Buckets of up to so many members compare all of them, as often as there are members.
+#: Buckets of up to so many members compare all of them at once; larger ones begin with their hub.
 SMALL = 8
-#: Rounds at most; each compares neighbours of large buckets in another order.
-ROUNDS = 3
+#: Bytes in a block of members of a large bucket, about: four for a k-mer and 512 for a member. It bounds memory, not what is compared.
+BLOCK = 262_144
 
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[128:] = False
@@ -173,23 +175,129 @@ def _pairs(rows: DataFrame, similar: float) -> DataFrame:
     return rows.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _together(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members of one bucket and different classes (``root``): with the smallest member; all of them in small
-    buckets; in large ones neighbours in an order that changes with the turn, within salted parts of the bucket."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "root")).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    mixed = members.join(sizes.select("bucket", "size", "head"), "bucket")
-    star = mixed.where("root != head.root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("head.node").alias("y"), F.col("head.n").alias("ny"))
-    order = F.xxhash64("node", F.lit(turn))
-    small = F.col("size") <= SMALL
-    # A part is a whole small bucket, or one of the salted parts of a large one, of some 500 members.
-    salt = F.when(small, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("size") / 512)))
-    parts = mixed.select("bucket", "node", "n", "root", small.alias("small"), order.alias("order"), salt.alias("salt"))
-    by = W.partitionBy("bucket", "salt").orderBy("order")
-    back = parts.select("node", "n", "root", "small", *(F.lag(F.struct("node", "n", "root"), k).over(by).alias(f"p{k}") for k in range(1, SMALL)))
-    # In a small bucket each member meets all before it; in a large one the two before it.
-    pairs = back.select("node", "n", "root", F.explode(F.when(F.col("small"), F.array(*(f"p{k}" for k in range(1, SMALL)))).otherwise(F.array("p1", "p2"))).alias("p"))
-    near = pairs.where("p IS NOT NULL AND p.root != root").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
-    return star.unionByName(near)
+def _first(members: DataFrame) -> DataFrame:
+    """Pairs that share a bucket: all of them in small buckets, each member and the hub in large ones."""
+    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+    by = W.partitionBy("bucket").orderBy("node")
+    back = small.select("node", "n", *(F.lag(F.struct("node", "n"), k).over(by).alias(f"p{k}") for k in range(1, SMALL)))
+    near = back.select("node", "n", F.explode(F.array(*(f"p{k}" for k in range(1, SMALL)))).alias("p"))
+    near = near.where("p IS NOT NULL").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
+    hubs = large.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
+    star = large.join(hubs, "bucket").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hub.node").alias("y"), F.col("hub.n").alias("ny"))
+    return near.unionByName(star)
+
+
+def _cells(members: DataFrame, single: DataFrame, short: DataFrame) -> DataFrame:
+    """Members of large buckets that hold several classes, once for each cell: a pair of blocks (i <= j) to compare.
+
+    The members of a bucket's largest class fill blocks of their own, which are not held against each other.
+    """
+    sizes = members.where(F.col("size") > SMALL).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("many"), F.sum(4 * F.col("n") + 512).alias("bytes"))
+    sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("many", "root", "bytes")).alias("most"), F.sum("bytes").alias("bytes")).where("roots > 1")
+    blocks = [F.ceil(k / BLOCK).cast("int") for k in (F.col("bytes") - F.col("most.bytes"), F.col("most.bytes"))]
+    sizes = storage.materialize(sizes.select("bucket", F.col("most.root").alias("top"), blocks[0].alias("rest"), blocks[1].alias("most")), "mixed")
+    salted = members.join(sizes, "bucket").withColumn("h", F.xxhash64("node", "bucket"))
+    own = F.when(F.col("root") == F.col("top"), F.col("rest") + F.pmod("h", "most")).otherwise(F.pmod("h", "rest")).cast("int")
+    others = F.when(F.col("root") == F.col("top"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("most") - 1))
+    placed = salted.select("bucket", "node", "root", own.alias("own"), others.alias("others"))
+    whole = placed.join(single.select("node", "sketches"), "node").join(short, "node")
+    met = whole.select("bucket", "own", F.explode("others").alias("other"), "node", "root", "sketches", "kmers")
+    cells = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketches", "kmers")
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _shared(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) of upper bounds of the k-mers that two members share."""
+    sizes = np.array([len(g) for g in grams])
+    _, inverse, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(grams)), sizes)
+    useful = count > 1  # k-mers that occur once are shared by no pair
+    column = (np.cumsum(useful) - 1)[inverse]
+    keep = useful[inverse]
+    order = np.argsort(column[keep], kind="stable")
+    member, column = member[keep][order], column[keep][order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = 4096
+    for c in range(0, int(useful.sum()), step):
+        lo, hi = np.searchsorted(column, [c, c + step])
+        part = np.zeros((len(grams), step), np.float32)
+        np.add.at(part, (member[lo:hi], column[lo:hi] - c), 1)
+        out += part[left] @ part[right].T
+    return out
+
+
+def _cell_links(bucket: int, i: int, j: int, rows: list[list], similar: float) -> list[tuple[bytes, bytes]]:
+    """Links of one cell between members of different classes; further links between joined classes are left out."""
+    own = np.array([r[0] for r in rows])
+    grams = [np.frombuffer(r[4], np.uint32) for r in rows]
+    n = np.array([len(g) for g in grams])
+    sketches = np.array([r[3] for r in rows], np.int64)
+    names: dict[bytes, int] = {}
+    root = np.array([names.setdefault(r[2], len(names)) for r in rows])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    if not len(left) or not len(right) or len(names) < 2:
+        return []
+    a, b = n[left][:, None], n[right][None, :]
+    need = similar / (1 + similar) * (a + b)
+    open_ = (root[left][:, None] != root[right][None, :]) & (np.minimum(a, b) >= need - 1e-6)
+    if i == j:
+        open_ &= left[:, None] < right[None, :]
+    # A pair with several buckets is compared in that of its first common sketch.
+    earlier, met = np.zeros(open_.shape, bool), np.zeros(open_.shape, bool)
+    for k in range(sketches.shape[1]):
+        if not open_.any():
+            return []
+        here = sketches[left, k] == bucket, sketches[right, k] == bucket
+        both = here[0][:, None] & here[1][None, :]
+        same = sketches[left, k][:, None] == sketches[right, k][None, :]
+        met |= both & ~earlier
+        earlier |= same
+    open_ &= met
+    if not open_.any():
+        return []
+    count = _shared(grams, left, right)
+    x, y = np.nonzero(open_ & (count >= need - 1e-6))
+    best = np.argsort(-(count[x, y] / (n[left[x]] + n[right[y]])), kind="stable")
+    joined = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return k
+
+    links = []
+    for p in best.tolist():
+        u, v = int(left[x[p]]), int(right[y[p]])
+        ru, rv = find(int(root[u])), find(int(root[v]))
+        if ru != rv and aligned(grams[u], grams[v], similar) > 0:
+            joined[ru] = rv
+            links.append((min(rows[u][1], rows[v][1]), max(rows[u][1], rows[v][1])))
+    return links
+
+
+def _compared(similar: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of all cells; the rows of a cell follow each other."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _cell_links(*key, rows, similar)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if key != (bucket, i, j):
+                        if rows:
+                            yield links()
+                        key, rows = (bucket, i, j), []
+                    rows.append(row)
+        if rows:
+            yield links()
+
+    return run
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -201,8 +309,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     single = texts.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"))
     single = storage.materialize(single.select("node", "first.doc_id", "first.row", "n", "sketches"), "texts")
     buckets = single.select("node", "n", F.explode("sketches").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = storage.materialize(buckets.join(shared, "bucket"), "buckets")
+    # The hub of a bucket has the greatest score: the members of all the text's buckets.
+    scores = members.groupBy("node").agg(F.sum("size").alias("score"))
+    members = storage.materialize(members.join(scores, "node"), "members")
     wanted = members.select("node").distinct().join(single, "node").select("node", "doc_id", "row")
     short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(_short, "node binary, kmers binary")
     short = storage.materialize(short.dropDuplicates(["node"]), "kmers")
@@ -212,16 +323,14 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb")
         return both.mapInArrow(_linked(similar), "a binary, b binary")
 
-    classed, tried, links, roots = members.withColumn("root", F.col("node")), None, None, None
-    for turn in range(ROUNDS):
-        new = _pairs(_together(classed, turn), similar)
-        new = storage.materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = storage.materialize(verified(new), "verified")
-        if tried is not None and not more.limit(1).count():
-            break
-        tried, links = (new, more) if tried is None else (tried.unionByName(new), links.unionByName(more))
-        roots = graph.components(links)
-        classed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = storage.materialize(verified(_pairs(_first(members), similar)), "verified")
+    roots = graph.components(links)
+    classed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _cells(classed, single, short).mapInArrow(_compared(similar), "a binary, b binary")
+    # One link of each class and node stands for all that were found before.
+    more = storage.materialize(more.distinct(), "compared")
+    if more.limit(1).count():
+        roots = graph.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = single.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = storage.materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
     by_node = named.join(smallest, "root").select("node", "class_id")

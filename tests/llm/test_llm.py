@@ -220,6 +220,35 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.report(docs(spark, [])).count() == 0
 
 
+def copies_of_one(n, seed, texts=250, edits=4):
+    """An original of ``n`` words and copies that are alike (0.8 or more) to it only, not to each other."""
+    r, base, out = random.Random(seed), words(n, seed), []
+    for k in range(texts):
+        own = base[:]
+        for at in r.sample(range(n // 5 - 1), edits):
+            own[5 * at + 2] = f"y{k}"
+        out.append(" ".join(own))
+    return [*out, " ".join(base)]
+
+
+def chain(n, seed, texts=40, step=8):
+    """Texts of which only neighbours are alike: each is the one before, moved on by some words."""
+    base = words(n + step * texts, seed)
+    return [" ".join(base[step * k : step * k + n]) for k in range(texts)]
+
+
+def test_near_duplicates_of_one_original(spark):
+    groups = [copies_of_one(200, 31), chain(90, 32), copies_of_one(300, 33, 60, 6)]
+    rows = [(1000 * g + k, t) for g, texts in enumerate(groups, 1) for k, t in enumerate(texts)]
+    # Many texts that share half of their words are no duplicates, though they meet in large buckets.
+    half = words(100, 34)
+    rows += [(9000 + k, " ".join(half + words(60, 3500 + k))) for k in range(60)]
+    r = random.Random(36)
+    r.shuffle(rows)
+    got = {x.doc_id: x.class_id for x in neardup.report(docs(spark, rows)).collect()}
+    assert got == {d: d if d >= 9000 else 1000 * (d // 1000) for d, _ in rows}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 8), (8, 9), (7, 7), *[(20, k) for k in range(21, 60)]]
     got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a long, b long")).collect()))
