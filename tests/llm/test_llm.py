@@ -416,6 +416,13 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert search.report(docs(spark, [])).count() == 0
 
 
+def test_pipeline_keeps_one_of_many_copies_of_one_original(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = list(enumerate(copies_of_one(200, 41, 300), 1))
+    assert [r.doc_id for r in c.deduplicate(spark, docs(spark, rows), str(tmp_path)).collect()] == [1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as c
 
