@@ -3,14 +3,15 @@
 A text's tokens are its runs of letters and digits. Canonicalisation keeps their number and order: a token that starts
 with a digit becomes a number slot, a unit right after one a unit slot, a capitalised token inside a sentence a name
 slot; the others are lower-cased. Windows of eight canonical tokens with at most three slots are hashed and joined
-between documents and benchmark. Hits of one document and item at one distance form an alignment. It counts if it
+between documents and benchmark. Item windows with more slots are joined by their lower-cased tokens as they are, and so
+is the whole of an item of fewer than eight tokens. Hits of one document and item at one distance form an alignment. It counts if it
 covers half of the item, or 25 tokens of it, and its slots are consistent: wherever the item repeats a value, the
 document repeats the value that it has in its place.
 
 Everything is built-in DataFrame functions. The benchmark's windows are broadcast up to a counted number of rows, and
 shuffled beyond; the same holds for the rows of documents whose slots are to be read.
 
-Null and empty texts, and items of fewer than eight tokens, match nothing. Very long texts are read whole. Rows that
+Null texts and texts without tokens match nothing. Very long texts are read whole. Rows that
 repeat a doc_id are judged each by its own text, and reported once for each; so are items that repeat an item_id.
 Empty tables give an empty result; other columns are not looked at.
 """
@@ -46,9 +47,9 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, _APART), "")
 
 
-def _windows(words: Column) -> Column:
+def _windows(words: Column, size: int = WINDOW, *tag: Column) -> Column:
     """Hashes of all windows, in order."""
-    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(*tag, F.slice(words, i, size))))
 
 
 def _small(df: DataFrame) -> bool:
@@ -57,29 +58,34 @@ def _small(df: DataFrame) -> bool:
 
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row, item_id, item, shift, covered, n: tokens covered of the item's n, before slots are checked."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.xxhash64("text").alias("item"), tokens(canonical(F.col("text"))).alias("words"))
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.xxhash64("text").alias("item"), tokens(canonical(F.col("text"))).alias("words"), tokens(F.lower("text")).alias("raw"))
+    items = items.withColumn("n", F.size("words"))
     slots = F.size(F.filter(F.slice(F.col("words"), F.col("at") + 1, WINDOW), lambda w: w.isin(NUMBER, UNIT, NAME)))
-    asked = (
-        items.select("item_id", "item", F.size("words").alias("n"), "words", F.posexplode(_windows(F.col("words"))).alias("at", "window"))
-        .where(slots <= SLOTS)
-        .select("window", "item_id", "item", "n", F.col("at").alias("item_at"))
-        .distinct()
-    )
+    exact = F.lit("exact")  # sets hashes of lower-cased tokens apart from those of canonical ones
+    asked = items.select("item_id", "item", "n", "words", F.posexplode(_windows(F.col("words"))).alias("at", "window")).where(slots <= SLOTS).select("window", "item_id", "item", "n", F.col("at").alias("item_at"))
+    full = items.select("item_id", "item", "n", "words", F.posexplode(_windows(F.col("raw"), WINDOW, exact)).alias("at", "window")).where(slots > SLOTS)
+    short = items.where((F.col("n") > 0) & (F.col("n") < WINDOW)).select(F.xxhash64(exact, "raw").alias("window"), "item_id", "item", "n", F.lit(0).alias("item_at"))
+    sizes = [r.n for r in short.select("n").distinct().collect()] + [WINDOW] * full.limit(1).count()  # eight numbers at most
+    asked = asked.unionByName(full.select("window", "item_id", "item", "n", F.col("at").alias("item_at"))).unionByName(short).distinct()
     if _small(asked):
         asked = F.broadcast(asked)
     words = docs.select("doc_id", "row", tokens(canonical(F.col("text"))).alias("words"))
-    hits = words.select("doc_id", "row", F.posexplode(_windows(F.col("words"))).alias("at", "window")).join(asked, "window")
+    hits = words.select("doc_id", "row", F.posexplode(_windows(F.col("words"))).alias("at", "window"))
+    for size in sizes:
+        words = docs.select("doc_id", "row", tokens(F.lower("text")).alias("words"))
+        hits = hits.unionByName(words.select("doc_id", "row", F.posexplode(_windows(F.col("words"), size, exact)).alias("at", "window")))
+    hits = hits.join(asked, "window")
     places = F.array_sort(F.collect_set("item_at"))
     # Each hit covers its window; neighbouring ones overlap.
     found = hits.groupBy("doc_id", "row", "item_id", "item", "n", (F.col("at") - F.col("item_at")).alias("shift")).agg(places.alias("places"))
     gaps = F.transform(F.sequence(F.lit(2), F.size("places")), lambda i: F.least(F.element_at("places", i) - F.element_at("places", i - 1), F.lit(WINDOW)))
-    covered = F.lit(WINDOW) + F.when(F.size("places") > 1, F.aggregate(gaps, F.lit(0), lambda a, g: a + g)).otherwise(0)
+    covered = F.least(F.lit(WINDOW), F.col("n")) + F.when(F.size("places") > 1, F.aggregate(gaps, F.lit(0), lambda a, g: a + g)).otherwise(0)
     return found.withColumn("covered", covered).where((F.col("covered") >= SHARE * F.col("n")) | (F.col("covered") >= ENOUGH))
 
 
 def _slots_agree(places: Column) -> Column:
     """Whether equal values of the item's slots have equal values in the document, over the covered tokens."""
-    inside = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p + 1, p + WINDOW))))
+    inside = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p + 1, F.least(p + WINDOW, F.col("n"))))))
     open_ = F.filter(inside, lambda i: F.element_at("item_words", i).isin(NUMBER, UNIT, NAME))
     pairs = F.array_distinct(F.transform(open_, lambda i: F.struct(F.element_at("item_values", i).alias("item"), F.element_at("doc_values", i + F.col("shift").cast("int")).alias("doc"))))
     return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))

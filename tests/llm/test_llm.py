@@ -93,6 +93,23 @@ def test_decontamination(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_without_template_windows(spark):
+    items = [
+        "THE QUICK SURVEY OF ALL KNOWN RIVERS IN THE NORTH OF THE OLD COUNTRY SHOWS NINE",
+        "The Complete Illustrated History Of Early Northern River Boats And Their Long Forgotten Makers",
+        "Die Hauptstadt Frankreichs heißt Paris, Sitz Der Regierung, Heimat Vieler Künstler, Ort Großer Museen",
+        " ".join(map(str, range(100, 140))),
+        "What is the capital of Peru?",
+    ]
+    bench = spark.createDataFrame([*enumerate(items), (9, "...")], "item_id bigint, text string")
+    rows = [(k, f"some quiet prose first. {t} and more of it") for k, t in enumerate(items)]
+    rows += [(10, "some quiet prose first. what is the capital of chile?"), (11, items[1].lower()), *AWKWARD[:1]]
+    got = {(r.doc_id, r.item_id): (r.covered, r.n_tokens) for r in decontaminate.report(docs(spark, rows), bench).collect()}
+    assert set(got) == {*((k, k) for k in range(5)), (11, 1)}
+    assert got[3, 3] == (40, 40) and got[4, 4] == (6, 6) and got[11, 1] == (14, 14)
+    assert {r.doc_id for r in decontaminate.remove(docs(spark, rows), bench).collect()} == {10, None}
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
