@@ -6,9 +6,11 @@ rule every boundary has at most one surviving backpointer. The encoder keeps the
 piece's length of the read position; once all their backpointer paths meet in one boundary, everything before it
 can no longer change, and its ids are committed. Signs outside the vocabulary become byte pieces.
 
-Texts are fed to the encoder in parts. Since no piece but runs of the space mark has that mark after its first sign,
+Texts are encoded in parts. Since no piece but runs of the space mark has that mark after its first sign,
 none has a newline, and none has certain punctuation after a letter, paths also meet there; parts are therefore cut
-at these places and their ids are kept in a bounded cache.
+at these places and their ids are kept in a bounded cache. Only parts of more than LONG signs go through the streaming
+encoder; shorter ones, nearly all of most texts, take the same pass at once for sorted distinct parts, without window
+or commit, and get equal ids.
 
 Null and empty texts have no ids; very long texts are encoded in full, in memory bounded by the text and its ids;
 repeated rows give repeated results.

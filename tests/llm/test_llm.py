@@ -151,6 +151,16 @@ def test_pii_report(spark):
 # --- pieces ------------------------------------------------------------------------------------------------------------------
 
 
+def test_pieces_of_both_paths_are_equal():
+    c, r = pieces.Codec(tokenizer_path("piece_bpe_32k.model")), random.Random(5)
+    parts = ["▁" + "".join(r.choice("abcdeinorst") for _ in range(n - 1)) for n in range(56, 73) for _ in range(3)]
+    e = pieces.Encoder(c.v)
+    want = [np.array(e.feed(p) + e.finish(), np.int32).tobytes() for p in sorted(parts)]
+    assert list(c._segment(sorted(parts))) == want
+    c.LONG = 1000
+    assert list(c._segment(sorted(parts))) == want
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
