@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from rampart.llm import storage
 
@@ -14,6 +13,12 @@ def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """``u, m``: the smallest of each node's ``v``, a row for each node. Written, so that the joins with it are plain
+    shuffles, whose large partitions Spark splits: one node may have a third of all links."""
+    return storage.materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a``, ``b``): the smallest node that it is linked to.
 
@@ -23,14 +28,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = storage.materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = _print(now)
-    by_u = W.partitionBy("u")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.select("u", "v", F.least(F.col("u"), F.min("v").over(by_u)).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.select("u", "v", F.min("v").over(by_u).alias("m"))
-        links_ = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        now = storage.materialize(links_, "links")
-        before, seen = seen, _print(now)
+        near = _least(both)
+        # Of each link the greater node moves from the smaller one to that one's smallest neighbour or itself.
+        by_small = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(near, "u")
+        large = storage.materialize(by_small.select(F.col("w").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        low = _least(large)
+        small = large.join(low, "u")
+        pairs = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
+        after = storage.materialize(pairs, "links")
+        storage.discard(now, near, large, low)
+        now, before, seen = after, seen, _print(after)
         if before == seen:
             break
     roots = now.select("v").distinct()

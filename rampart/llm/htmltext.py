@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.llm import kernels as K
+
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math select".split())
@@ -380,4 +382,4 @@ def report(df: DataFrame, page_id: str = "page_id", url: str = "url", page: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = df.schema[page_id].dataType.simpleString()
-    return df.select(F.col(page_id), F.col(url), F.col(page)).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return df.select(F.col(page_id), F.col(url), F.col(page)).mapInArrow(K.lean(run), f"page_id {kind}, url string, text string, n_chars bigint")

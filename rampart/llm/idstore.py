@@ -159,6 +159,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+K.forget.append(_encoders.clear)
 
 
 def encoder(path: str, end_id: int | None) -> Encoder:
@@ -197,26 +198,25 @@ _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id"
 
 def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with K.no_cycles():
-            e, seen = encoder(path, end_id), set()
-            for b in batches:
-                for k in range(0, b.num_rows, 512):
-                    part = b.slice(k, 512)
-                    rows: list[tuple] = []
-                    streams = [np.frombuffer(x, e.type) for x in e.encode_many(part.column(1).to_pylist())]
-                    for doc, ids, ends in zip(part.column(0).to_pylist(), streams, cut(streams), strict=True):
-                        digests, last = [], 0
-                        for end in ends:
-                            payload = ids[last:end].tobytes()
-                            digests.append(d := _digest(payload))
-                            if d not in seen:
-                                if len(seen) > 500_000:  # forgetting costs a second copy in the shuffle, never in the store
-                                    seen.clear()
-                                seen.add(d)
-                                rows.append((0, d, None, None, None, payload))
-                            last = end
-                        rows.append((1, _digest(repr(doc).encode()), doc, len(ids), digests, None))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
+        e, seen = encoder(path, end_id), set()
+        for b in batches:
+            for lo, hi in K.slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
+                rows: list[tuple] = []
+                streams = [np.frombuffer(x, e.type) for x in e.encode_many(part.column(1).to_pylist())]
+                for doc, ids, ends in zip(part.column(0).to_pylist(), streams, cut(streams), strict=True):
+                    digests, last = [], 0
+                    for end in ends:
+                        payload = ids[last:end].tobytes()
+                        digests.append(d := _digest(payload))
+                        if d not in seen:
+                            if len(seen) > 500_000:  # forgetting costs a second copy in the shuffle, never in the store
+                                seen.clear()
+                            seen.add(d)
+                            rows.append((0, d, None, None, None, payload))
+                        last = end
+                    rows.append((1, _digest(repr(doc).encode()), doc, len(ids), digests, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
 
     return run
 
@@ -294,15 +294,15 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = None,
     """Encode ``text`` and write the store, the recipes and the manifest below ``folder``."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    staged = docs.mapInArrow(_stage(tokenizer, end_id), _STAGED)
+    staged = docs.mapInArrow(K.lean(_stage(tokenizer, end_id), cycles=False), _STAGED)
     # Copies of a chunk within a task are gone already, so no digest brings more rows than there are tasks.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = staged.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, _STAGED)
+    stored = staged.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(K.lean(_once), _STAGED)
     stored.write.option("compression", "zstd").parquet(f"{folder}/store")
 
     own = spark.read.parquet(f"{folder}/store").where("kind = 1").select("doc_id", "n_tokens", "digests")
     ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "digests")
-    numbered = ordered.mapInArrow(_number, "part bigint, pos bigint, doc_id bigint, start bigint, n_tokens bigint, digests array<binary>")
+    numbered = ordered.mapInArrow(K.lean(_number), "part bigint, pos bigint, doc_id bigint, start bigint, n_tokens bigint, digests array<binary>")
     numbered.write.option("compression", "zstd").parquet(f"{folder}/numbered")
     numbered = spark.read.parquet(f"{folder}/numbered")
     # A row for each part; their number is that of the shuffle partitions.
@@ -321,7 +321,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Roots of the recipes as they are now: one row for each part, and one of part -1 above them."""
     recipes = spark.read.parquet(f"{folder}/recipes").select("part", "doc_id", "n_tokens", "digests", "pos")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    roots = recipes.repartition(n, "part").sortWithinPartitions("part", "pos").mapInArrow(_roots, "part bigint, n_docs bigint, n_tokens bigint, root binary")
+    roots = recipes.repartition(n, "part").sortWithinPartitions("part", "pos").mapInArrow(K.lean(_roots), "part bigint, n_docs bigint, n_tokens bigint, root binary")
     rows = sorted(roots.collect())  # as many as there are parts
     total = (-1, sum(r["n_docs"] for r in rows), sum(r["n_tokens"] for r in rows), merkle([bytes(r["root"]) for r in rows]))
     return spark.createDataFrame([*[tuple(r) for r in rows], total], "part bigint, n_docs bigint, n_tokens bigint, root binary")
@@ -352,7 +352,7 @@ def _chunks(spark: SparkSession, folder: str, tokenizer: str, with_ids: bool) ->
 
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     found = spark.read.parquet(f"{folder}/store").where("kind = 0").select(F.col("key").alias("digest"), "payload")
-    return found.mapInArrow(lambda it: _opened(it, width, with_ids), "digest binary, n bigint, crc bigint, ids binary")
+    return found.mapInArrow(K.lean(lambda it: _opened(it, width, with_ids)), "digest binary, n bigint, crc bigint, ids binary")
 
 
 def _pieces(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
@@ -426,4 +426,4 @@ def summary(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 from the files. Chunks are read and checked where they lie; what is
     shuffled is their CRC-32, since that of a document follows from those of its chunks."""
     rows = _pieces(spark, folder, _chunks(spark, folder, tokenizer, False).select("digest", "n", "crc"))
-    return rows.select("doc_id", "start", "n_tokens", "steps").mapInArrow(_digested, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select("doc_id", "start", "n_tokens", "steps").mapInArrow(K.lean(_digested), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

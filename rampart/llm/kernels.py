@@ -6,9 +6,10 @@ span is one subtraction and one product, whatever its length; a final mix spread
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,44 @@ def powers(which: int, inverse: bool, n: int) -> np.ndarray:
     return have[:n]
 
 
-@contextmanager
-def no_cycles() -> Iterator[None]:
-    """No search for cycles while caches of many strings are filled; what gathered is collected at the end of the task."""
-    on = gc.isenabled()
-    gc.disable()
+#: What modules keep between the batches of a task, as functions that empty it.
+forget: list[Callable[[], object]] = [_powers.clear]
+
+
+def _release() -> None:
+    for f in forget:
+        f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
-        yield
-    finally:
-        if on:
-            gc.enable()
-        gc.collect()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+Task = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Task, cycles: bool = True) -> Task:
+    """``run`` as the body of a task: at its end caches are emptied and free memory goes back to the system, as a
+    worker process outlives its tasks, and what an idle one keeps counts against its executor.
+
+    Without ``cycles`` nothing looks for reference cycles meanwhile, which is slow where caches hold many strings.
+    """
+
+    @functools.wraps(run)
+    def body(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = gc.isenabled()
+        if not cycles:
+            gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()
+            _release()
+
+    return body
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,17 +117,26 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)), at
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of groups of rows of about CHUNK_BYTES."""
-    data, at = raw(column)
-    lo, n = 0, len(at) - 1
+def slices(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of groups of rows of about ``size`` bytes of text; a longer row stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, n = 0, len(ends)
     while lo < n:
-        hi = int(np.searchsorted(at, at[lo] + CHUNK_BYTES, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
-        yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        before = ends[lo - 1] if lo else 0
+        hi = min(max(int(np.searchsorted(ends, before + size, side="right")), lo + 1), n)
+        yield lo, hi
         lo = hi
 
 
+def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of groups of rows of about CHUNK_BYTES, lower-cased if asked for.
+    Only one group at a time is copied."""
+    for lo, hi in slices(column):
+        part = strings(column.slice(lo, hi - lo))
+        data, at = raw(pc.utf8_lower(part) if lower else part)
+        yield lo, hi, data[at[0] : at[-1]], at - at[0]
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

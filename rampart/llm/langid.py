@@ -7,17 +7,24 @@ these join stretches of texts of several languages, so that changes of language
 Forward-backward gives each word's marginals; a document's language is the one with the largest mean marginal, which
 is its score.
 
-Training takes at most ``SAMPLE`` documents of each language, those with the smallest hash of their id. With no
-language to learn, every row is ``und``.
+Training takes at most ``SAMPLE`` documents of each language, those with the smallest hash of their id, and a stretch
+of at most ``STRETCH`` signs of each, from a place that the hash gives; of rows that repeat an id, the one with the
+smallest stretch. So much goes to the one task that trains, whatever the tables hold. With no language to learn, every
+row is ``und``.
+
+``word_labels`` gives the language of every word, for code-switched text; ``predict`` that of each document, ``keep``
+the documents whose words are labelled with confidence.
 
 ``und`` with score 0 stands for a null text or one without a letter. Very long texts are labelled whole: marginals of
-all words of a batch come from one pass over blocks, exact whatever the length. Rows that repeat a doc_id are labelled
-each by its own text; ties go to the first language in alphabetical order; an empty table gives an empty result; other
-columns are not looked at.
+all words of a batch come from one pass over blocks, exact whatever the length; scores are rounded to nine decimals, so
+that they don't depend on what stands in the same batch. Rows that repeat a doc_id are labelled each by its own text;
+ties go to the first language in alphabetical order; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,12 +32,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rampart.llm import kernels as K
 from rampart.llm.quality import held_out
 
-BITS, SAMPLE, LEXICON = 15, 300, 300
-SEQUENCES, STEPS, BATCH, LONG, RATE, DECAY = 4000, 60, 256, 48, 0.5, 1e-5
+BITS, SAMPLE, STRETCH, LEXICON = 15, 300, 4000, 300
+STEPS, BATCH, LONG, RATE, DECAY, DECIMALS = 60, 256, 48, 0.5, 1e-5, 9
 FAMILIES = 9  # prefixes of 1 to 3, suffixes of 1 to 3, n-grams of 2 to 4
 BLOCK = 128
 
@@ -187,63 +195,100 @@ def train(texts: list[tuple[str, str]], seed: int = 8) -> Model | None:
     return Model(langs, lexicon, weights, start, step)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from ``docs`` (doc_id, text, lang), of which at most ``sample`` documents of each language are read."""
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # as many as there are languages
-    chosen = None
-    for lang in langs:
-        some = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
-        return None
-    # At most ``sample`` ids of each language are broadcast, and as many texts of the usual length come to the driver.
-    rows = known.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([(r["lang"], r["text"]) for r in rows])
+def _trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows (doc_id, lang, text) of the task."""
+    rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+    model = train([(lang, text) for _, lang, text in rows]) if rows else None
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, stretch: int = STRETCH) -> Model | None:
+    """A model from ``docs`` (doc_id, text, lang); ``sample`` documents of each language are read, ``stretch`` signs of each."""
+    known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
+    # Every task hands on ``sample`` ids of each language at most; so many of each are broadcast.
+    by = W.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample).select("lang", "doc_id", "h").distinct()
+    at = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - stretch)).cast("int")
+    cut = F.substring(F.col("text"), at, F.lit(stretch))
+    rows = known.where("text IS NOT NULL").join(F.broadcast(chosen), ["lang", "doc_id"]).select("doc_id", "lang", cut.alias("text"))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    made = rows.repartition(1).mapInArrow(K.lean(_trained), "model binary").collect()  # one row
+    return pickle.loads(made[0]["model"]) if made else None
 
 
-def label(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
-    langs, scores = ["und"] * len(column), np.zeros(len(column))
-    for r0, r1, data, at in K.chunks(pc.utf8_lower(K.strings(column))):
+def _marginals(column: pa.Array, model: Model) -> Iterator[tuple]:
+    """(first row, each row's first byte, starts and ends of words in bytes, each row's first word, bytes, marginals) of groups of rows."""
+    for r0, _, data, at in K.chunks(column, lower=True):
         s, e, first = K.words(data, at, _APART)
-        if not len(s):
-            continue
-        marginal = model.marginals(model.emissions(data, s, e), first)
-        sums = np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0)])
+        if len(s):
+            yield r0, at, s, e, first, data, model.marginals(model.emissions(data, s, e), first)
+
+
+def label(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and confidence of each text: the mean marginal of the language, and the mean of every word's largest one."""
+    langs, scores, sure = ["und"] * len(column), np.zeros(len(column)), np.zeros(len(column))
+    for r0, _, s, e, first, data, marginal in _marginals(column, model):
         n = np.diff(first)
-        mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)[:, None]
-        best = mean.argmax(axis=1)
+        some = np.flatnonzero(n)
+        mean = np.round(np.add.reduceat(marginal, first[some], axis=0) / n[some][:, None], DECIMALS)
+        best, most = mean.argmax(axis=1), np.round(np.add.reduceat(marginal.max(axis=1), first[some]) / n[some], DECIMALS)
         ascii_ = np.concatenate([[0], np.cumsum(data < 128)])
-        for r in np.flatnonzero(n).tolist():
+        for k, r in enumerate(some.tolist()):
             a, b = first[r], first[r + 1]
             plain = ascii_[e[a:b]] - ascii_[s[a:b]]
             if plain.any() or any(map(str.isalpha, column[r0 + r].as_py())):
-                langs[r0 + r], scores[r0 + r] = model.langs[best[r]], min(1.0, max(0.0, float(mean[r, best[r]])))
-    return langs, scores
+                langs[r0 + r], scores[r0 + r], sure[r0 + r] = model.langs[best[k]], min(1.0, max(0.0, float(mean[k, best[k]]))), min(1.0, float(most[k]))
+    return langs, scores, sure
 
 
 def _labelled(model: Model | None, column: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = label(batch.column(column), model) if model else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
+            langs, scores, _ = label(batch.column(column), model) if model else (["und"] * batch.num_rows, np.zeros(batch.num_rows), None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     return run
 
 
+_WORDS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("p", pa.float64())]))
+
+
+def word_labels(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """All columns of ``df`` plus ``word_langs``: for each word of the lower-cased text its start and end (code points,
+    end exclusive), language and marginal. Null for null texts, empty without words or model."""
+    df = df.drop("word_langs")
+    column = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(column)
+            found: list[list | None] = [[] if valid else None for valid in texts.is_valid().to_pylist()]
+            for r0, at, s, e, first, data, marginal in _marginals(texts, model) if model else ():
+                signs = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+                best = marginal.argmax(axis=1)
+                p = np.round(marginal[np.arange(len(best)), best], DECIMALS)
+                for r in np.flatnonzero(np.diff(first)).tolist():
+                    a, b = first[r], first[r + 1]
+                    base = signs[at[r]]
+                    found[r0 + r] = [{"start": int(x), "end": int(y), "lang": model.langs[k], "p": float(z)} for x, y, k, z in zip(signs[s[a:b]] - base, signs[e[a:b]] - base, best[a:b], p[a:b], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _WORDS)], names=[*batch.schema.names, "word_langs"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "word_langs array<struct<start:bigint,end:bigint,lang:string,p:double>>"])
+    return df.mapInArrow(K.lean(run), schema)
+
+
 def keep(df: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that have a language, and its score is ``least`` or more; the columns stay as they are."""
+    """The rows of ``df`` that have a language, with a confidence of ``least`` or more, whatever the share of one
+    language in the text; the columns stay as they are."""
     column = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if model and batch.num_rows:
-                langs, scores = label(batch.column(column), model)
-                yield batch.filter(pa.array([lang != "und" and x >= least for lang, x in zip(langs, scores, strict=True)], pa.bool_()))
+                langs, _, sure = label(batch.column(column), model)
+                yield batch.filter(pa.array([lang != "und" and x >= least for lang, x in zip(langs, sure, strict=True)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(K.lean(run), df.schema)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -251,7 +296,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     The model's size doesn't depend on the data."""
     df = df.drop("lang_pred", "lang_score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "lang_pred string, lang_score double"])
-    return df.mapInArrow(_labelled(model, df.columns.index(text)), schema)
+    return df.mapInArrow(K.lean(_labelled(model, df.columns.index(text))), schema)
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

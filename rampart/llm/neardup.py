@@ -16,8 +16,9 @@
 
 A document with fewer than five words has one k-mer, of all its words. Null texts and texts without words are alike to
 nothing and get a class of their own, as do rows with a null doc_id (whose class is null). Rows that repeat a doc_id
-are classed each by its own text. Very long texts are handled whole; an empty table gives an empty result; other
-columns are not looked at.
+are classed each by its own text. Ties: where several texts have a class's smallest doc_id, the one with the smallest
+hash represents it. Very long texts are handled whole; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def _nodes(one: np.ndarray, two: np.ndarray) -> pa.Array:
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = batch.select([0, 2])
-        for r0, r1, data, at in K.chunks(pc.utf8_lower(K.strings(batch.column(1)))):
+        for r0, r1, data, at in K.chunks(batch.column(1), lower=True):
             labelled, begin, one, two = kmers(data, at)
             n = np.diff(begin)
             some = np.flatnonzero(n)
@@ -152,7 +153,7 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node and its labelled k-mers, 32 bits of each."""
     for batch in batches:
-        for r0, r1, data, at in K.chunks(pc.utf8_lower(K.strings(batch.column(1)))):
+        for r0, r1, data, at in K.chunks(batch.column(1), lower=True):
             labelled, begin, _, _ = kmers(data, at)
             small = (labelled >> K.U(32)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, r1 - r0), pa.array([small[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], names=["node", "kmers"])
@@ -301,40 +302,45 @@ def _compared(similar: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, row, class_id`` of the rows that have words: ``row`` is the text's hash, ``class_id`` the smallest doc_id of the class."""
+    """``doc_id, row, class_id, class_row`` of the rows that have words: ``row`` is the text's hash, ``class_id`` and
+    ``class_row`` are those of the class's smallest doc_id."""
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = storage.materialize(known.mapInArrow(_sketched, _TEXTS), "sketches")
+    texts = storage.materialize(known.mapInArrow(K.lean(_sketched), _TEXTS), "sketches")
     # One row of each text goes on: that of its smallest doc_id. Its copies have the same k-mers.
     single = texts.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"))
     single = storage.materialize(single.select("node", "first.doc_id", "first.row", "n", "sketches"), "texts")
     buckets = single.select("node", "n", F.explode("sketches").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = storage.materialize(buckets.join(shared, "bucket"), "buckets")
+    # Written, so that the join below is of plain shuffles, whose large partitions Spark splits.
+    shared = storage.materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    sized = storage.materialize(buckets.join(shared, "bucket"), "buckets")
     # The hub of a bucket has the greatest score: the members of all the text's buckets.
-    scores = members.groupBy("node").agg(F.sum("size").alias("score"))
-    members = storage.materialize(members.join(scores, "node"), "members")
+    scores = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    members = storage.materialize(sized.join(scores, "node"), "members")
     wanted = members.select("node").distinct().join(single, "node").select("node", "doc_id", "row")
-    short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(_short, "node binary, kmers binary")
+    short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(K.lean(_short), "node binary, kmers binary")
     short = storage.materialize(short.dropDuplicates(["node"]), "kmers")
+    storage.discard(shared, sized)
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (short.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}")) for x in ("a", "b"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb")
-        return both.mapInArrow(_linked(similar), "a binary, b binary")
+        return both.mapInArrow(K.lean(_linked(similar)), "a binary, b binary")
 
     links = storage.materialize(verified(_pairs(_first(members), similar)), "verified")
     roots = graph.components(links)
     classed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _cells(classed, single, short).mapInArrow(_compared(similar), "a binary, b binary")
+    more = _cells(classed, single, short).mapInArrow(K.lean(_compared(similar)), "a binary, b binary")
     # One link of each class and node stands for all that were found before.
     more = storage.materialize(more.distinct(), "compared")
     if more.limit(1).count():
         roots = graph.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = single.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = storage.materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "classes")
-    by_node = named.join(smallest, "root").select("node", "class_id")
-    return texts.select("doc_id", "row", "node").join(by_node, "node").select("doc_id", "row", "class_id").distinct()
+    named = single.join(roots, "node", "left").select("node", "doc_id", "row", F.coalesce("root", "node").alias("root"))
+    smallest = storage.materialize(named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")), "classes")
+    by_node = named.join(smallest, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"))
+    by_node = storage.materialize(by_node, "nodes")
+    storage.discard(members, short, links, more, smallest, single)
+    return texts.select("doc_id", "row", "node").join(by_node, "node").select("doc_id", "row", "class_id", "class_row").distinct()
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -345,7 +351,20 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: f
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``df`` whose doc_id is that of their class, once each; rows with a null doc_id or text stay."""
-    gone = classes(df, doc_id, text, similar).where("class_id < doc_id").select(F.col("doc_id").alias("_rampart_id"), F.col("row").alias("_rampart_row"))
-    left = df.join(gone, (F.col(doc_id).cast("bigint") == F.col("_rampart_id")) & (F.xxhash64(F.col(text)) == F.col("_rampart_row")), "left_anti")
-    return left.dropDuplicates([doc_id, text])
+    """One row of each class: that of its smallest doc_id. All rows with a null doc_id or text stay.
+
+    Of rows that repeat a doc_id and a text, the one with the smallest hash of all columns stays; rows that are equal in
+    every column count as one. Columns of map type are not looked at for that.
+    """
+    ids, own = F.col(doc_id).cast("bigint"), F.xxhash64(F.col(text))
+    every = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    gone = classes(df, doc_id, text, similar).where("class_id != doc_id OR class_row != row").select(F.col("doc_id").alias("_rampart_id"), F.col("row").alias("_rampart_row"), F.lit(None).cast("bigint").alias("_rampart_first"))
+    named = df.where(ids.isNotNull() & F.col(text).isNotNull()).select(ids.alias("_rampart_id"), own.alias("_rampart_row"), every.alias("_rampart_hash"))
+    again = named.groupBy("_rampart_id", "_rampart_row").agg(F.count(F.lit(1)).alias("_rampart_n"), F.min("_rampart_hash").alias("_rampart_first")).where("_rampart_n > 1").drop("_rampart_n")
+    again = again.join(gone, ["_rampart_id", "_rampart_row"], "left_anti")
+    # Rows to look at: those that go, without a hash, and those that repeat, with the hash that stays. Written, so that the join is of plain shuffles.
+    marked = storage.materialize(gone.unionByName(again).withColumn("_rampart_mark", F.lit(True)), "marked")
+    both = df.join(marked, (ids == F.col("_rampart_id")) & (own == F.col("_rampart_row")), "left")
+    single = both.where("_rampart_mark IS NULL").select(*df.columns)
+    repeated = both.where(F.col("_rampart_first") == every).select(*df.columns, "_rampart_id", "_rampart_row").dropDuplicates(["_rampart_id", "_rampart_row"]).select(*df.columns)
+    return single.unionByName(repeated)

@@ -6,18 +6,21 @@ rule every boundary has at most one surviving backpointer. The encoder keeps the
 piece's length of the read position; once all their backpointer paths meet in one boundary, everything before it
 can no longer change, and its ids are committed. Signs outside the vocabulary become byte pieces.
 
-Texts are encoded in parts. Since no piece but runs of the space mark has that mark after its first sign,
-none has a newline, and none has certain punctuation after a letter, paths also meet there; parts are therefore cut
-at these places and their ids are kept in a bounded cache. Only parts of more than LONG signs go through the streaming
-encoder; shorter ones, nearly all of most texts, take the same pass at once for sorted distinct parts, without window
-or commit, and get equal ids.
+Since no piece but runs of the space mark has that mark after its first sign, none has a newline, and none has certain
+punctuation after a letter, all paths are known to meet at these places: the encoder commits there whatever comes, so
+the ids between two of them depend on the signs between them only and are kept in a bounded cache. All signs that are
+not in the cache go through the same encoder, sorted, so that what a stretch shares with the one before stays in the
+window. Where paths don't meet for long, the window grows and a commit is tried each time that it has doubled, so time
+stays linear.
 
 Null and empty texts have no ids; very long texts are encoded in full, in memory bounded by the text and its ids;
-repeated rows give repeated results.
+repeated rows give repeated results, whatever their ids (null ones too); an empty table gives an empty result. Of other
+columns, only those named as results are replaced. A model whose normaliser changes texts is refused.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -39,7 +42,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_file=path)
+        self.library = sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -84,80 +87,132 @@ class Vocabulary:
 
 
 class Encoder:
-    """Feed text, take committed ids. The window holds at most ``longest`` open boundaries besides unresolved history."""
+    """Feed text, take committed ids. The window holds the signs after the last boundary where all paths met."""
+
+    #: Signs that enter the window at once.
+    STEP = 64
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.window = ""  # text after the last committed boundary
+        self._restart("")
+
+    def _restart(self, window: str) -> None:
+        self.window = window  # text after the last committed boundary
         self.last: list[str | None] = [""]  # by boundary of the window: its surviving last piece; "" at the committed one
         self.before = ""  # the piece that ends at the committed boundary
-
-    def _ids(self, piece: str) -> list[int]:
-        i = self.v.id.get(piece)
-        return [i] if i is not None else [self.v.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        v, usable, longest = self.v, self.v.usable, self.v.longest
-        for sign in text:
-            self.window += sign
-            w, last = self.window, self.last
-            end = len(w)
+        self.out: list[int] = []  # committed ids
+        self.full = 2 * self.v.longest  # boundaries at which a commit is tried
+
+    def _extend(self) -> None:
+        """Find the surviving last piece of every boundary that has entered the window."""
+        v = self.v
+        usable, tails, rank, follows, longest = v.usable, v.tails, v.rank, v.follows, v.longest
+        w, last, before = self.window, self.last, self.before
+        end = len(last)
+        while end <= len(w):
             found = None
             for start in range(end - 1, max(-1, end - longest - 1), -1):
-                piece = w[start:]
-                if piece not in v.tails and start < end - 1:
-                    break
+                piece = w[start:end]
                 left = last[start]
-                if left is None:
-                    continue
-                if piece not in usable and not (start == end - 1 and piece not in v.rank):
+                if piece not in tails:
+                    if start == end - 1 and left is not None and piece not in rank:  # a sign that the model doesn't know
+                        left = left or before
+                        if not left or v.may_follow(left, piece):
+                            found = piece
+                    break
+                if left is None or piece not in usable:
                     continue
-                left = left or self.before
-                if not left or v.may_follow(left, piece):
+                left = left or before
+                if not left or ((left, piece) in follows and follows[left, piece]) or v.may_follow(left, piece):
                     found = piece
                     break
             last.append(found)
-            if end >= 2 * longest:
-                out += self._commit(longest)
-        return out
+            if end >= self.full:
+                end -= self._commit()
+                w, last, before = self.window, self.last, self.before
+            end += 1
+
+    def _commit(self) -> int:
+        """Commit up to the boundary where the paths of all that a later piece can follow meet; the number of signs."""
+        n = len(self.last) - 1
+        ends = [-e for e in range(n + 1 - min(n, self.v.longest), n + 1) if self.last[e] is not None]
+        heapq.heapify(ends)
+        while len(ends) > 1:  # the furthest path goes back by one piece; paths that meet go on as one
+            top = heapq.heappop(ends)
+            if top != ends[0]:
+                heapq.heappush(ends, top + len(self.last[-top]))
+        shared = -ends[0]
+        if shared:
+            self._take(shared)
+            self.full = 2 * self.v.longest
+        else:
+            self.full = 2 * n
+        return shared
+
+    def _path(self, at: int) -> list[int]:
+        """Ids of the path to a boundary of the window."""
+        ids, last, known = [], self.last, self.v.id
+        while at:
+            piece = last[at]
+            i = known.get(piece)
+            if i is None:
+                ids += [self.v.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
+            else:
+                ids.append(i)
+            at -= len(piece)
+        ids.reverse()
+        return ids
 
-    def _path(self, end: int) -> list[int]:
-        """Boundaries from the window's start to ``end``."""
-        path = [end]
-        while path[-1]:
-            path.append(path[-1] - len(self.last[path[-1]]))
-        return path[::-1]
-
-    def _commit(self, open_: int) -> list[int]:
-        """Ids up to the last boundary that all paths from the ``open_`` last boundaries share."""
-        n = len(self.window)
-        shared: list[int] | None = None
-        for end in range(max(0, n - open_ + 1), n + 1):
-            if self.last[end] is None:
-                continue
-            path = self._path(end)
-            shared = path if shared is None else [x for x, y in zip(shared, path, strict=False) if x == y]
-        return self._take(shared) if shared and len(shared) > 1 else []
-
-    def _take(self, path: list[int]) -> list[int]:
-        out: list[int] = []
-        for a, b in zip(path, path[1:], strict=False):
-            self.before = self.window[a:b]
-            out += self._ids(self.before)
-        self.window, self.last = self.window[path[-1] :], ["", *self.last[path[-1] + 1 :]]
+    def _take(self, end: int) -> None:
+        """Commit the path to a boundary, which becomes the window's start."""
+        self.out += self._path(end)
+        self.before = self.last[end]
+        self.window, self.last = self.window[end:], ["", *self.last[end + 1 :]]
+
+    def feed(self, text: str) -> list[int]:
+        for k in range(0, len(text), self.STEP):
+            self.window += text[k : k + self.STEP]
+            self._extend()
+        out, self.out = self.out, []
         return out
 
     def finish(self) -> list[int]:
-        out = self._take(self._path(len(self.window))) if self.window else []
-        self.__init__(self.v)
+        if self.window:
+            self._take(len(self.window))
+        out = self.out
+        self._restart("")
         return out
 
+    def stretches(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each of some sorted texts, of which none goes on from the one before."""
+        self._restart("")
+        before = ""
+        for t in texts:
+            head = t[: self.STEP]
+            same = 0
+            if not self.out:  # nothing of the text before has left the window
+                most = min(len(head), len(before))
+                while same < most and head[same] == before[same]:
+                    same += 1
+                self.window = head
+                del self.last[same + 1 :]
+            else:
+                self._restart(head)
+            self._extend()
+            for k in range(self.STEP, len(t), self.STEP):
+                self.window += t[k : k + self.STEP]
+                self._extend()
+            # The rest of the path is read off without a commit, so that the next text can share the window.
+            yield array("i", self.out + self._path(len(self.window))).tobytes()
+            before = t if len(t) <= self.STEP else ""
+            if not before and not self.out:
+                self._restart("")
+
 
 class Codec:
-    """Encoding and decoding of whole texts, with a bounded cache of the ids of words."""
+    """Encoding and decoding of whole texts, with a bounded cache of the ids of stretches between known meeting places."""
 
-    CACHED = 150_000  # words in each of two generations
+    CACHED = 150_000  # stretches in each of two generations
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
@@ -169,53 +224,16 @@ class Codec:
         self.cut = re.compile(rf"{MARK}*[^\W_]++{stop}|\n|{MARK}*[^{MARK}\n]++|{MARK}+")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        if any(np.frombuffer(self.encode(t), np.int32).tolist() != self.v.library.encode(t) for t in self.PROBES):
+            raise ValueError("the model's normaliser changes texts, or it is no BPE model")
+
+    #: Texts on which the library itself must agree.
+    PROBES = ("a  b", " a ", "\tA\u030a\u00c5", "\ufb01\u2460\uff21", "Hello, world", "x\u3000y", "\x07\u200b\n\n")
 
     def parts(self, text: str) -> list[str]:
         """The marked text, cut where no piece can reach across."""
         return self.cut.findall(MARK + text.replace(" ", MARK))
 
-    #: A longer word goes through the streaming encoder, whose window is bounded.
-    LONG = 64
-
-    def _segment(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each sorted word; the boundaries of the prefix that it shares with the word before are kept."""
-        v, before, last = self.v, "", [""]
-        usable, tails, rank, follows, id_ = v.usable, v.tails, v.rank, v.follows, v.id
-        for w in words:
-            if len(w) > self.LONG:
-                yield np.array(self.encoder.feed(w) + self.encoder.finish(), np.int32).tobytes()
-                continue
-            same, most = 0, min(len(w), len(before))
-            while same < most and w[same] == before[same]:
-                same += 1
-            del last[same + 1 :]
-            for end in range(same + 1, len(w) + 1):
-                found = None
-                for start in range(end - 1, -1, -1):
-                    piece = w[start:end]
-                    if piece not in tails:
-                        if start == end - 1 and last[start] is not None and piece not in rank and (not last[start] or v.may_follow(last[start], piece)):
-                            found = piece
-                        break
-                    left = last[start]
-                    if left is None or piece not in usable:
-                        continue
-                    if not start or ((left, piece) in follows and follows[left, piece]) or v.may_follow(left, piece):
-                        found = piece
-                        break
-                last.append(found)
-            before = w
-            end, ids = len(w), []
-            while end:
-                piece = last[end]
-                i = id_.get(piece)
-                if i is None:
-                    ids += [v.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
-                else:
-                    ids.append(i)
-                end -= len(piece)
-            yield array("i", ids[::-1]).tobytes()
-
     def learn(self, words: set[str]) -> None:
         young, old, new = self.young, self.old, []
         for w in words - young.keys():
@@ -225,7 +243,7 @@ class Codec:
             else:
                 young[w] = ids
         new.sort()
-        young.update(zip(new, self._segment(new), strict=True))
+        young.update(zip(new, self.encoder.stretches(new), strict=True))
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers; words are learned for about a million signs of text at once."""
@@ -266,10 +284,11 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+K.forget.append(_codecs.clear)
 
 
 def codec(path: str) -> Codec:
-    """One for each worker process and model file."""
+    """One for each task and model file."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -279,15 +298,14 @@ def encoding(path: str, column: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
     """Batches in, the same with a last column ``piece_ids`` out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with K.no_cycles():
-            c = codec(path)
-            for b in batches:
-                for k in range(0, b.num_rows, 512):
-                    part = b.slice(k, 512)
-                    ids = list(c.encode_many(part.column(column).to_pylist()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "piece_ids"])
+        c = codec(path)
+        for b in batches:
+            for lo, hi in K.slices(b.column(column)):
+                part = b.slice(lo, hi - lo)
+                ids = list(c.encode_many(part.column(column).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "piece_ids"])
 
-    return run
+    return K.lean(run, cycles=False)
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -309,29 +327,28 @@ def decode(df: DataFrame, model: str, ids: str = "piece_ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "decoded string"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.lean(run), schema)
 
 
 def report(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_ids, the CRC-32 of its ids, and whether decoding gives the text back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with K.no_cycles():
-            c = codec(model)
-            for b in batches:
-                for k in range(0, b.num_rows, 512):
-                    part = b.slice(k, 512)
-                    texts = part.column(1).to_pylist()
-                    ids = list(c.encode_many(texts))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0),
-                            pa.array([len(x) // 4 for x in ids], pa.int64()),
-                            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                            pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
-                        ],
-                        names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
-                    )
+        c = codec(model)
+        for b in batches:
+            for lo, hi in K.slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
+                texts = part.column(1).to_pylist()
+                ids = list(c.encode_many(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                        pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    ],
+                    names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
+                )
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    return df.select(F.col(doc_id), F.col(text)).mapInArrow(K.lean(run, cycles=False), f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.llm import kernels as K
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "secret")
 
@@ -197,7 +199,7 @@ def detect(df: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _SPANS_ARROW)], names=[*b.schema.names, "pii_spans"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"pii_spans {_SPANS}"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.lean(run), schema)
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
@@ -209,7 +211,7 @@ def redacted(df: DataFrame, text: str = "text") -> DataFrame:
             texts = [redact(t, find(t)) if t else t for t in b.column(column).to_pylist()]
             yield b.set_column(column, b.schema.field(column), pa.array(texts, b.schema.field(column).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(K.lean(run), df.schema)
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,4 +230,4 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
-    return df.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+    return df.select(F.col(doc_id), F.col(text)).mapInArrow(K.lean(run), schema)

@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     )
     # At most ``sample`` rows of two numbers are broadcast, and as many sparse rows train in one task.
     rows = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("nth"), "label", "text")
-    sparse = rows.mapInArrow(_sparse, "nth bigint, label int, index binary, value binary")
-    one = sparse.repartition(1).sortWithinPartitions("nth", "index").mapInArrow(_trained, "weights binary")
+    sparse = rows.mapInArrow(K.lean(_sparse), "nth bigint, label int, index binary, value binary")
+    one = sparse.repartition(1).sortWithinPartitions("nth", "index").mapInArrow(K.lean(_trained), "weights binary")
     made = one.collect()  # one row, or none without labels
     return np.frombuffer(made[0]["weights"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
@@ -159,7 +159,7 @@ def _scored(weights: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterato
 def score(df: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row. The weights have a fixed size of a megabyte."""
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scored(weights), f"doc_id {kind}, score double")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(K.lean(_scored(weights)), f"doc_id {kind}, score double")
 
 
 def held_out() -> F.Column:

@@ -17,6 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -136,7 +136,7 @@ def _extend(length: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Runs of passages to remove: ``doc_id, row, gone`` (array of first and last passage start, in words)."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    seeds = storage.materialize(known.mapInArrow(_seed(length, seed), _SEEDS), "seeds")
+    seeds = storage.materialize(known.mapInArrow(K.lean(_seed(length, seed)), _SEEDS), "seeds")
     shared = (
         seeds.groupBy("seed")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), ((F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))).alias("settled"))
@@ -152,7 +152,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     several = several.join(contexts, ["seed", "c1", "c2"])
     copies = several.where("doc_id > own").select("doc_id", "row", "lo", "hi")
     open_ = several.where("doc_id = own").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
-    passages = storage.materialize(keyed(docs).join(open_, ["doc_id", "row"], "left").select("doc_id", "text", "row", "open").mapInArrow(_extend(length), _PASSAGES), "passages")
+    passages = storage.materialize(keyed(docs).join(open_, ["doc_id", "row"], "left").select("doc_id", "text", "row", "open").mapInArrow(K.lean(_extend(length)), _PASSAGES), "passages")
     earliest = passages.groupBy("w1", "w2").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("own < last").select("w1", "w2", "own")
     earliest = storage.materialize(earliest, "earliest")
     hits = passages.join(earliest, ["w1", "w2"]).where("doc_id > own").select("doc_id", "row", F.col("at").alias("lo"), F.col("at").alias("hi"))
@@ -191,5 +191,5 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
     gone = repeats(docs, length, seed)
     both = keyed(docs).join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "gone")
-    out = both.mapInArrow(_cut(length, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = both.mapInArrow(K.lean(_cut(length, with_text)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")

@@ -151,14 +151,23 @@ def test_pii_report(spark):
 # --- pieces ------------------------------------------------------------------------------------------------------------------
 
 
-def test_pieces_of_both_paths_are_equal():
+def test_pieces_of_stretches_equal_fed_ones():
     c, r = pieces.Codec(tokenizer_path("piece_bpe_32k.model")), random.Random(5)
-    parts = ["▁" + "".join(r.choice("abcdeinorst") for _ in range(n - 1)) for n in range(56, 73) for _ in range(3)]
+    parts = sorted("▁" + "".join(r.choice("abcdeinorst") for _ in range(n - 1)) for n in (3, 9, *range(56, 73), 130, 400) for _ in range(3))
     e = pieces.Encoder(c.v)
-    want = [np.array(e.feed(p) + e.finish(), np.int32).tobytes() for p in sorted(parts)]
-    assert list(c._segment(sorted(parts))) == want
-    c.LONG = 1000
-    assert list(c._segment(sorted(parts))) == want
+    want = [np.array(e.feed(p) + e.finish(), np.int32).tobytes() for p in parts]
+    assert list(e.stretches(parts)) == want
+    r.shuffle(parts)  # order only matters for speed
+    assert sorted(e.stretches(parts)) == sorted(want)
+
+
+def test_pieces_take_linear_time_where_paths_do_not_meet(monkeypatch):
+    v = pieces.Codec(tokenizer_path("piece_bpe_32k.model")).v
+    e, tried = pieces.Encoder(v), []
+    monkeypatch.setattr(pieces.Encoder, "_commit", lambda self: (tried.append(len(self.last)), setattr(self, "full", 2 * (len(self.last) - 1)), 0)[-1])
+    e.feed("▁" + "ab" * 50_000)
+    assert len(tried) < 20  # a commit that fails is tried again when the window has doubled
+    assert len(e.window) == 100_001
 
 
 def test_pieces_equal_the_library(spark):
@@ -240,10 +249,14 @@ def test_near_duplicates_equal_brute_force(spark):
     want = {(d, least[find(i)]) for i, (d, _) in enumerate(known)}
     assert want <= got
     assert {x for x in got - want} == {(None, None), (1, 1), (2, 2), (6, 6)}
-    kept = neardup.keep_one(docs(spark, rows))
+    kept = neardup.keep_one(docs(spark, [*rows, (None, "null id")]))
     assert kept.columns == ["doc_id", "text", "node", "row", "score"]
     assert kept.where("doc_id >= 200 AND doc_id < 300").count() == len({c for d, c in want if 200 <= d < 300})
-    assert kept.where("doc_id = 5").count() == 1 and kept.where("doc_id IS NULL").count() == 1
+    assert kept.where("doc_id = 5").count() == 1 and kept.where("doc_id IS NULL").count() == 2 and kept.where("text IS NULL").count() == 1
+    repeats = [(1, "one two three four five", "b"), (1, "one two three four five", "a"), (1, "one two three four five", "a"), (1, None, "x"), (1, None, "x"), (2, "One two three four five", "c"), (1, "other", "d")]
+    frame = spark.createDataFrame(repeats, "doc_id bigint, text string, tag string")
+    left = sorted(map(repr, map(tuple, neardup.keep_one(frame).collect())))
+    assert len(left) == 4 and left == sorted(map(repr, map(tuple, neardup.keep_one(frame.orderBy(F.desc("tag"))).collect())))
     assert neardup.report(docs(spark, [])).count() == 0
 
 
@@ -378,6 +391,41 @@ def test_language(spark):
     assert langid.report(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 
 
+def test_words_of_code_switched_text(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choice(EN if k % 2 else FR) for _ in range(30)), "en" if k % 2 else "fr") for k in range(120)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    want, parts = [], []
+    for k in range(30):
+        lang = "en" if k % 3 else "fr"
+        some = [r.choice(EN if lang == "en" else FR) for _ in range(6)]
+        parts += some
+        want += [lang] * 6
+    mixed = "É, " + "  ".join(parts)
+    texts = [(1, mixed, "x"), (2, None, "x"), (3, "", "x"), (4, "12 !", "x"), (4, mixed * 200, "x")]
+    got = langid.word_labels(spark.createDataFrame(texts, "doc_id bigint, text string, word_langs string"), model).collect()
+    first = got[0].word_langs[1:]
+    assert [mixed[w.start : w.end] for w in first] == parts
+    assert sum(w.lang == x for w, x in zip(first, want, strict=True)) >= 0.9 * len(want) and all(0.5 <= w.p <= 1 for w in first)
+    assert got[1].word_langs is None and got[2].word_langs == got[3].word_langs == [] and len(got[4].word_langs) == 200 * 180 + 1
+    kept = langid.keep(spark.createDataFrame(texts, "doc_id bigint, text string, word_langs string"), model, 0.4)
+    assert sorted(x.doc_id for x in kept.collect()) == [1, 4]  # no language has all of it, but the words are sure
+
+
+def test_languages_do_not_depend_on_neighbours_and_samples_are_bounded(spark):
+    r = random.Random(19)
+    rows = [(k % 60, " ".join(r.choice(EN if k % 2 else FR) for _ in range(3000 if k == 7 else 20)), "en" if k % 2 else "fr") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, sample=20)
+    column = pa.array([t for _, t, _ in rows])
+    whole = langid.label(column, model)
+    for k in (0, 7, 8, 239):
+        one = langid.label(column[k : k + 1], model)
+        assert one[0][0] == whole[0][k] and one[1][0] == whole[1][k]
+    assert langid.fit(df.limit(0)) is None and langid.fit(df.withColumn("lang", F.lit(None).cast("string"))) is None
+    assert {x.lang_pred for x in langid.predict(df, None).collect()} == {"und"}
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">Buy this thing now.</div><article><h1>Head</h1><p>One &amp;  two\nthree. And a longer sentence.<br><p>Four &lt;b&gt; five, as it goes on. More.</article><section id="comments"><p>I like this a lot. Great!</p></section><footer>&copy; me</footer></body></html>'
 
 
