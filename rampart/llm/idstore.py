@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from rampart.llm import kernels as K
 
 #: Ids in a chunk: at least, about, at most. The rolling hash sees the last ROLL ids.
-SMALLEST, USUAL, LARGEST, ROLL = 256, 1024, 8192, 16
+SMALLEST, USUAL, LARGEST, ROLL = 128, 512, 4096, 16
 DIGEST = 16
 
 
@@ -57,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # in a text, the special tokens' strings are ordinary
+        self.added = tuple(x.content for x in self.t.get_added_tokens_decoder().values())  # found in texts before any cut
         self.end = end_id
         self.type = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.young: dict[str, bytes] = {}
@@ -82,7 +82,7 @@ class Encoder:
 
     def parts(self, text: str) -> list[str]:
         """What stands after spaces; the sign \\0 opens what has no space before it, \\1 a text in one piece."""
-        if not self.cuttable or any([x in text for x in self._ODD]) or text[0] in " \n" or text[-1] in " \n":
+        if not self.cuttable or any([x in text for x in self.added]) or any([x in text for x in self._ODD]) or text[0] in " \n" or text[-1] in " \n":
             return ["\1" + text]
         words = text.split(" ")
         words[0] = "\0" + words[0]
@@ -159,7 +159,6 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
-K.forget.append(_encoders.clear)
 
 
 def encoder(path: str, end_id: int | None) -> Encoder:

@@ -93,17 +93,22 @@ ORACLE_SQL: dict[str, str] = {
             SELECT 'doc' AS side, doc_id AS id, hash(text) AS txt, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
             UNION SELECT 'item', item_id, hash(text), text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
         ),
+        whole AS (SELECT side, id, txt, regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1{decontaminate.JOINER}\2', 'g'), '([0-9])[.,]([0-9])', '\1{decontaminate.JOINER}\2', 'g') AS text FROM input),
         split AS (
             SELECT side, id, txt, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS words,
                    list_concat(CASE WHEN regexp_matches(text, '^[^\p{{L}}\p{{N}}]') THEN []::VARCHAR[] ELSE [''] END, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]+')) AS gaps
-            FROM input
+            FROM whole
         ),
-        word AS (SELECT side, id, txt, generate_subscripts(words, 1) AS i, unnest(words) AS w, unnest(gaps[1:len(words)]) AS gap FROM split),
+        part AS (SELECT side, id, txt, generate_subscripts(words, 1) AS i, unnest(words) AS w, unnest(gaps[1:len(words)]) AS gap FROM split),
+        lead_ AS (SELECT *, i > 1 AND gap IN (' ', ', ', '; ', ': ') AND regexp_matches(w, '^\p{{Lu}}') AS named FROM part),
+        chain AS (SELECT *, coalesce(gap = ' ' AND regexp_matches(w, '^\p{{Lu}}') AND lag(named) OVER doc, false) AS goes_on FROM lead_ WINDOW doc AS (PARTITION BY side, id, txt ORDER BY i)),
+        numbered AS (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY side, id, txt ORDER BY i)::BIGINT AS t FROM chain),
+        word AS (SELECT side, id, txt, t AS i, string_agg(w, '{decontaminate.JOINER}' ORDER BY i) AS w, arg_min(gap, i) AS gap, arg_min(named, i) AS named FROM numbered GROUP BY side, id, txt, t),
         typed AS (
             SELECT *, lower(w) AS value,
                    CASE WHEN regexp_matches(w, '^[0-9]') THEN '{decontaminate.NUMBER}'
                         WHEN len(gap) <= 2 AND regexp_matches(lag(w) OVER doc, '^[0-9]') AND lower(w) IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN '{decontaminate.UNIT}'
-                        WHEN i > 1 AND gap IN (' ', ', ', '; ', ': ') AND regexp_matches(w, '^\p{{Lu}}') THEN '{decontaminate.NAME}'
+                        WHEN named THEN '{decontaminate.NAME}'
                         ELSE lower(w) END AS c
             FROM word WINDOW doc AS (PARTITION BY side, id, txt ORDER BY i)
         ),
@@ -128,7 +133,24 @@ ORACLE_SQL: dict[str, str] = {
             JOIN slotted d ON d.side = 'doc' AND d.id = doc_id AND d.txt = spot.txt AND d.i = spot.i + shift GROUP BY ALL
         ),
         ok AS (SELECT cover.* FROM cover LEFT JOIN pair USING (doc_id, txt, item_id, item, shift) WHERE pairs IS NULL OR pairs = own),
-        best AS (SELECT doc_id, item_id, max(row(covered, n)) AS b FROM ok GROUP BY ALL)
+        over_ AS (
+            SELECT id, txt FROM size WHERE n < {decontaminate.WINDOW}
+            UNION SELECT id, txt FROM win WHERE side = 'item' AND n = {decontaminate.WINDOW} AND slots > {decontaminate.SLOTS}
+        ),
+        plain AS (SELECT side, id, txt, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS raw FROM input),
+        wanted AS (SELECT id, txt, raw, least(len(raw), {decontaminate.WINDOW}) AS s FROM plain JOIN over_ USING (id, txt) WHERE side = 'item' AND len(raw) > 0),
+        sizes AS (SELECT DISTINCT s FROM wanted),
+        item_win AS (SELECT id, txt, len(raw) AS n, s, i, raw[i:i + s - 1] AS k FROM (SELECT *, unnest(range(1, len(raw) - s + 2)) AS i FROM wanted)),
+        doc_win AS (SELECT id, txt, s, i, raw[i:i + s - 1] AS k FROM (SELECT id, txt, raw, s, unnest(range(1, len(raw) - s + 2)) AS i FROM plain, sizes WHERE side = 'doc' AND len(raw) >= s)),
+        exact_spot AS (
+            SELECT DISTINCT d.id AS doc_id, d.txt, t.id AS item_id, t.txt AS item, t.n, d.i - t.i AS shift, unnest(range(t.i, t.i + t.s)) AS i
+            FROM doc_win d JOIN item_win t ON d.s = t.s AND d.k = t.k
+        ),
+        exact AS (
+            SELECT doc_id, txt, item_id, item, shift, n, count(*) AS covered FROM exact_spot
+            GROUP BY ALL HAVING count(*) >= {decontaminate.SHARE} * n OR count(*) >= {decontaminate.ENOUGH}
+        ),
+        best AS (SELECT doc_id, item_id, max(row(covered, n)) AS b FROM (SELECT doc_id, item_id, covered, n FROM ok UNION ALL SELECT doc_id, item_id, covered, n FROM exact) GROUP BY ALL)
         SELECT doc_id, item_id, b[1]::BIGINT AS covered, b[2]::BIGINT AS n_tokens FROM best
     """,
     "op10_search": rf"""

@@ -110,6 +110,17 @@ def test_decontamination_without_template_windows(spark):
     assert {r.doc_id for r in decontaminate.remove(docs(spark, rows), bench).collect()} == {10, None}
 
 
+def test_decontamination_of_values_with_several_parts(spark, monkeypatch):
+    item = "Tom buys 1,200 pens at 3.50 dollars each and sells them for 4.75 dollars each to Mary Ann Lee in Boston before the shop closes for the day"
+    other = item.replace("1,200", "900").replace("3.50", "3").replace("4.75", "5.25").replace("Mary Ann Lee", "Jo").replace("Boston", "New York")
+    bench = spark.createDataFrame([(1, item), (2, "What is the capital city of France"), (3, item)], "item_id bigint, text string")
+    rows = [(1, "quiet prose. " + item), (2, "quiet prose. " + other), (3, "so what is the capital city of France today"), (4, "what is the capital city of Spain"), (5, other.replace("dollars each to", "each to")[:36])]
+    want = {(1, 1), (1, 3), (2, 1), (2, 3), (3, 2)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs(spark, rows), bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # the shuffled way
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs(spark, rows), bench).collect()} == want
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
