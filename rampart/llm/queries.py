@@ -33,6 +33,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_pii that SQL can express."""
+    return op3_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE), "base_sha256")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -75,8 +80,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_html": op9_html,
     "op10_search": op10_search,
+    "pii_base": pii_base,
+}
+
+_BASE_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    "card": (
+        r"[0-9]([\x20-]?[0-9])+",
+        "len(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(digits) + 1), lambda i: CASE WHEN (len(digits) - i) % 2 = 0 THEN digits[i]::INT ELSE 2 * digits[i]::INT - CASE WHEN digits[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) BETWEEN 9 AND 15"),
 }
 
+
+def _base_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT doc_id, nth, {n} AS k, '{kind}' AS kind, regexp_extract_all(t, '{regex}') AS ms, string_split_regex(t, '{regex}') AS gs FROM doc" for n, (kind, (regex, _)) in enumerate(_BASE_KINDS.items()))
+    valid = " ".join(f"WHEN '{kind}' THEN {test}" for kind, (_, test) in _BASE_KINDS.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _BASE_KINDS)
+    return rf"""
+        WITH doc AS (SELECT doc_id, row_number() OVER () AS nth, coalesce(text, '') AS t FROM documents),
+        found AS ({found}),
+        each AS (SELECT doc_id, nth, k, kind, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM found),
+        span AS (
+            SELECT nth, k, kind, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
+                   list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a
+            FROM each
+        ),
+        good AS (SELECT * FROM span WHERE CASE kind {valid} END),
+        summed AS (SELECT nth, {counts}, string_agg(kind || ':' || a::BIGINT || ':' || (a + length(m))::BIGINT, ',' ORDER BY k, a) AS spans FROM good GROUP BY nth)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _BASE_KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM doc LEFT JOIN summed USING (nth)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substrings": r"""
         WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -153,6 +189,7 @@ ORACLE_SQL: dict[str, str] = {
         best AS (SELECT doc_id, item_id, max(row(covered, n)) AS b FROM (SELECT doc_id, item_id, covered, n FROM ok UNION ALL SELECT doc_id, item_id, covered, n FROM exact) GROUP BY ALL)
         SELECT doc_id, item_id, b[1]::BIGINT AS covered, b[2]::BIGINT AS n_tokens FROM best
     """,
+    "pii_base": _base_sql(),
     "op10_search": rf"""
         WITH word AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         tf AS (SELECT doc_id, w, count(*) AS tf FROM word GROUP BY ALL),
