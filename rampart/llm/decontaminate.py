@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from rampart.llm import storage
 
 WINDOW, SLOTS, SHARE, ENOUGH = 8, 3, 0.5, 25
-#: Rows of two or three numbers up to which a side is broadcast.
-BROADCAST_ROWS = 1_000_000
 # Units that turn into a slot after a number.
 UNITS = (
     "km m cm mm mi mile miles ft feet foot inch inches yd yard yards kg g mg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes l ml liter liters litre litres gallon gallons "
@@ -65,12 +63,6 @@ def _windows(words: Column, size: int = WINDOW, *tag: Column) -> Column:
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(*tag, F.slice(words, i, size))))
 
 
-def _placed(df: DataFrame, label: str) -> DataFrame:
-    """``df``, of rows of some numbers, written; broadcast if its counted rows are few."""
-    df = storage.materialize(df, label)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row, item, exact, shift, places, covered, n: tokens covered of the item's n, before slots are checked."""
     items = benchmark.select("item", "text").withColumn("whole", joined(F.col("text"))).select("item", tokens(canonical(F.col("whole"))).alias("words"), tokens(F.lower("text")).alias("raw"))
@@ -85,7 +77,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     full = plain.select("item", "n_raw", F.posexplode(_windows(F.col("raw"), WINDOW, label)).alias("at", "window"))
     short = plain.where(F.col("n_raw") < WINDOW).select(F.xxhash64(label, "raw").alias("window"), "item", "n_raw", F.lit(0).alias("at"))
     asked = asked.unionByName(full.unionByName(short).select("window", "item", F.lit(True).alias("exact"), F.col("n_raw").alias("n"), F.col("at").alias("item_at")))
-    asked = _placed(asked.distinct(), "asked")
+    asked = storage.placed(asked.distinct(), "asked")
     sizes = [r.n for r in asked.where("exact").select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # eight numbers at most
     words = docs.select("doc_id", "row", tokens(canonical(joined(F.col("text")))).alias("words"))
     hits = words.select("doc_id", "row", F.posexplode(_windows(F.col("words"))).alias("at", "window"))
@@ -118,7 +110,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     # Equal words need no look at their slots.
     same = found.where("exact").select("doc_id", "row", "item", "covered", "n")
     open_ = found.where("NOT exact")
-    wanted = _placed(open_.select(F.xxhash64("doc_id").alias("wanted_id"), F.col("row").alias("wanted")).distinct(), "wanted")
+    wanted = storage.placed(open_.select(F.xxhash64("doc_id").alias("wanted_id"), F.col("row").alias("wanted")).distinct(), "wanted")
     whole = joined(F.col("text"))
     values = known.join(wanted, (F.xxhash64("doc_id") == F.col("wanted_id")) & (F.col("row") == F.col("wanted")), "left_semi")
     values = values.select("doc_id", "row", tokens(F.lower(whole)).alias("doc_values")).groupBy("doc_id", "row").agg(F.any_value("doc_values").alias("doc_values"))
@@ -137,5 +129,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that match no item; rows with a null id or text stay."""
     found = matches(docs, benchmark, doc_id, text).select(F.xxhash64("doc_id").alias("_rampart_id"), F.col("row").alias("_rampart_row")).distinct()
-    found = _placed(found, "matched")
+    found = storage.placed(found, "matched")
     return docs.join(found, (F.xxhash64(F.col(doc_id)) == F.col("_rampart_id")) & (F.xxhash64(F.col(text)) == F.col("_rampart_row")), "left_anti")

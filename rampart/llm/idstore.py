@@ -9,8 +9,8 @@ Layout below a folder, all Parquet:
 
 - ``store``: rows of kind 0 (``digest``, ``payload``: little-endian ids, 16 bits where the vocabulary allows, else 32)
   and of kind 1 (a document's recipe, as written by the encoding tasks);
-- ``recipes``: ``part, pos, doc_id, start, n_tokens, digests``, sorted by part and pos;
-- ``manifest``: ``part, n_docs, start, root`` and a row of part -1 with the root of roots.
+- ``recipes``: ``part, pos, doc_id, start, n_tokens, digests``, sorted by part and pos; ``start`` counts from the part's;
+- ``manifest``: ``part, n_docs, n_tokens, start, root`` and a row of part -1 with the root of roots.
 
 Null and empty texts have the end id only; very long texts are encoded in full; repeated rows and repeated ids keep a
 recipe each (ties in doc_id are ordered by their digests, a null doc_id comes first); other columns are not looked at.
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampart.llm import kernels as K
+from rampart.llm import storage
 
 #: Ids in a chunk: at least, about, at most. The rolling hash sees the last ROLL ids.
 SMALLEST, USUAL, LARGEST, ROLL = 128, 512, 4096, 16
@@ -295,35 +296,33 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = None,
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     staged = docs.mapInArrow(K.lean(_stage(tokenizer, end_id), cycles=False), _STAGED)
     # Copies of a chunk within a task are gone already, so no digest brings more rows than there are tasks.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = staged.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(K.lean(_once), _STAGED)
+    stored = staged.repartition(storage.partitions(docs), "key").sortWithinPartitions("kind", "key").mapInArrow(K.lean(_once), _STAGED)
     stored.write.option("compression", "zstd").parquet(f"{folder}/store")
 
-    own = spark.read.parquet(f"{folder}/store").where("kind = 1").select("doc_id", "n_tokens", "digests")
-    ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "digests")
-    numbered = ordered.mapInArrow(K.lean(_number), "part bigint, pos bigint, doc_id bigint, start bigint, n_tokens bigint, digests array<binary>")
-    numbered.write.option("compression", "zstd").parquet(f"{folder}/numbered")
-    numbered = spark.read.parquet(f"{folder}/numbered")
-    # A row for each part; their number is that of the shuffle partitions.
-    sums = {r["part"]: r["n"] for r in numbered.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    before, starts = 0, []
-    for part in sorted(sums):
-        starts.append((part, before))
-        before += sums[part]
-    offsets = spark.createDataFrame(starts, "part bigint, before bigint") if starts else spark.createDataFrame([], "part bigint, before bigint")
-    recipes = numbered.join(F.broadcast(offsets), "part").select("part", "pos", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "digests")
+    rows = spark.read.parquet(f"{folder}/store").where("kind = 1")
+    own = rows.select("doc_id", "digests", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"), "n_tokens")
+    # Ranges of all four, so that one id (or null), and even one id and text, may have any share of the rows.
+    keys = ("doc_id", "digests", "file", "nth")
+    ordered = own.repartitionByRange(storage.partitions(rows), *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "digests")
+    recipes = ordered.mapInArrow(K.lean(_number), "part bigint, pos bigint, doc_id bigint, start bigint, n_tokens bigint, digests array<binary>")
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     manifest(spark, folder).write.parquet(f"{folder}/manifest")
 
 
+_MANIFEST = "part bigint, n_docs bigint, n_tokens bigint, start bigint, root binary"
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Roots of the recipes as they are now: one row for each part, and one of part -1 above them."""
     recipes = spark.read.parquet(f"{folder}/recipes").select("part", "doc_id", "n_tokens", "digests", "pos")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     roots = recipes.repartition(n, "part").sortWithinPartitions("part", "pos").mapInArrow(K.lean(_roots), "part bigint, n_docs bigint, n_tokens bigint, root binary")
-    rows = sorted(roots.collect())  # as many as there are parts
-    total = (-1, sum(r["n_docs"] for r in rows), sum(r["n_tokens"] for r in rows), merkle([bytes(r["root"]) for r in rows]))
-    return spark.createDataFrame([*[tuple(r) for r in rows], total], "part bigint, n_docs bigint, n_tokens bigint, root binary")
+    rows, before = [], 0
+    for r in sorted(roots.collect()):  # as many as there are parts
+        rows.append((r["part"], r["n_docs"], r["n_tokens"], before, bytes(r["root"])))
+        before += r["n_tokens"]
+    total = (-1, sum(r[1] for r in rows), before, 0, merkle([r[4] for r in rows]))
+    return spark.createDataFrame([*rows, total], _MANIFEST)
 
 
 def verify(spark: SparkSession, folder: str) -> None:
@@ -356,7 +355,9 @@ def _chunks(spark: SparkSession, folder: str, tokenizer: str, with_ids: bool) ->
 
 def _pieces(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
     """A row for each document with its chunks in order."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    parts = spark.read.parquet(f"{folder}/manifest").where("part >= 0").select("part", F.col("start").alias("before"))
+    # A row for each part, as many as there are shuffle partitions.
+    recipes = spark.read.parquet(f"{folder}/recipes").join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
     steps = recipes.select("part", "pos", "doc_id", "start", F.posexplode("digests").alias("step", "digest"))
     kept = [c for c in ("n", "crc", "ids") if c in chunks.columns]
     found = steps.join(chunks, "digest", "left").groupBy("part", "pos").agg(F.array_sort(F.collect_list(F.struct("step", *kept))).alias("steps"))

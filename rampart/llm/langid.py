@@ -205,9 +205,13 @@ def _trained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE, stretch: int = STRETCH) -> Model | None:
     """A model from ``docs`` (doc_id, text, lang); ``sample`` documents of each language are read, ``stretch`` signs of each."""
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    # Every task hands on ``sample`` ids of each language at most; so many of each are broadcast.
+    # Hashes are spread evenly, so those below a bound by the language's number of rows hold the smallest ones. So few
+    # rows of each language, some four times ``sample``, go on; the ids are broadcast.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    share = F.greatest(F.lit(4.0 * sample), F.lit(sample + 1000.0)) / F.col("size")
+    low = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < share)
     by = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample).select("lang", "doc_id", "h").distinct()
+    chosen = low.distinct().withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample).select("lang", "doc_id", "h")
     at = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - stretch)).cast("int")
     cut = F.substring(F.col("text"), at, F.lit(stretch))
     rows = known.where("text IS NOT NULL").join(F.broadcast(chosen), ["lang", "doc_id"]).select("doc_id", "lang", cut.alias("text"))

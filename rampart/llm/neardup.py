@@ -183,7 +183,7 @@ def _first(members: DataFrame) -> DataFrame:
     back = small.select("node", "n", *(F.lag(F.struct("node", "n"), k).over(by).alias(f"p{k}") for k in range(1, SMALL)))
     near = back.select("node", "n", F.explode(F.array(*(f"p{k}" for k in range(1, SMALL)))).alias("p"))
     near = near.where("p IS NOT NULL").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
-    hubs = large.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
+    hubs = storage.materialize(large.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub")), "hubs")
     star = large.join(hubs, "bucket").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hub.node").alias("y"), F.col("hub.n").alias("ny"))
     return near.unionByName(star)
 
@@ -317,10 +317,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     # The hub of a bucket has the greatest score: the members of all the text's buckets.
     scores = sized.groupBy("node").agg(F.sum("size").alias("score"))
     members = storage.materialize(sized.join(scores, "node"), "members")
-    wanted = members.select("node").distinct().join(single, "node").select("node", "doc_id", "row")
+    # Only what is in a bucket with others is read again; a short list of it spares a shuffle of the texts.
+    wanted = storage.placed(members.select("node").distinct().join(single, "node").select("node", "doc_id", "row"), "wanted")
     short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(K.lean(_short), "node binary, kmers binary")
     short = storage.materialize(short.dropDuplicates(["node"]), "kmers")
-    storage.discard(shared, sized)
+    storage.discard(shared, sized, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (short.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}")) for x in ("a", "b"))
@@ -362,8 +363,8 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     named = df.where(ids.isNotNull() & F.col(text).isNotNull()).select(ids.alias("_rampart_id"), own.alias("_rampart_row"), every.alias("_rampart_hash"))
     again = named.groupBy("_rampart_id", "_rampart_row").agg(F.count(F.lit(1)).alias("_rampart_n"), F.min("_rampart_hash").alias("_rampart_first")).where("_rampart_n > 1").drop("_rampart_n")
     again = again.join(gone, ["_rampart_id", "_rampart_row"], "left_anti")
-    # Rows to look at: those that go, without a hash, and those that repeat, with the hash that stays. Written, so that the join is of plain shuffles.
-    marked = storage.materialize(gone.unionByName(again).withColumn("_rampart_mark", F.lit(True)), "marked")
+    # Rows to look at: those that go, without a hash, and those that repeat, with the hash that stays.
+    marked = storage.placed(gone.unionByName(again).withColumn("_rampart_mark", F.lit(True)), "marked")
     both = df.join(marked, (ids == F.col("_rampart_id")) & (own == F.col("_rampart_row")), "left")
     single = both.where("_rampart_mark IS NULL").select(*df.columns)
     repeated = both.where(F.col("_rampart_first") == every).select(*df.columns, "_rampart_id", "_rampart_row").dropDuplicates(["_rampart_id", "_rampart_row"]).select(*df.columns)

@@ -123,9 +123,14 @@ class Encoder:
                 if left is None or piece not in usable:
                     continue
                 left = left or before
-                if not left or ((left, piece) in follows and follows[left, piece]) or v.may_follow(left, piece):
-                    found = piece
-                    break
+                if left:
+                    ok = follows.get((left, piece))
+                    if ok is None:
+                        ok = v.may_follow(left, piece)
+                    if not ok:
+                        continue
+                found = piece
+                break
             last.append(found)
             if end >= self.full:
                 end -= self._commit()

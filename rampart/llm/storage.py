@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of rows in one exchange with a Python worker. Documents are long, so the usual 10,000 rows would be too many.
 BATCH = "4m"
+#: Rows of a few numbers up to which a side of a join is broadcast; they take some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def placed(df: DataFrame, label: str) -> DataFrame:
+    """``df``, of rows of a few numbers, written; broadcast in joins if the rows, counted, are few. If not, a join with it
+    is one of plain shuffles, whose large partitions Spark splits."""
+    df = materialize(df, label)
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    small = F.broadcast(df)
+    small._rampart_path = df._rampart_path
+    return small
+
+
+def partitions(df: DataFrame, size: int = 256 << 20) -> int:
+    """Shuffle partitions for the rows of ``df``: the session's number, or more if its files are so large that a
+    partition would exceed ``size`` bytes."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-known // size)) if known < 1 << 60 else least  # what Spark can't tell has the size of a long
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that no later plan reads. Others are left alone."""
     for df in tables:

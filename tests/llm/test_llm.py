@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from rampart.llm import decontaminate, graph, htmltext, idstore, langid, neardup, pieces, pii, quality, queries, search, substrings
+from rampart.llm import decontaminate, graph, htmltext, idstore, langid, neardup, pieces, pii, quality, queries, search, storage, substrings
 from rampart.llm import kernels as K
 from rampart.llm.queries import tokenizer_path
 
@@ -117,7 +117,7 @@ def test_decontamination_of_values_with_several_parts(spark, monkeypatch):
     rows = [(1, "quiet prose. " + item), (2, "quiet prose. " + other), (3, "so what is the capital city of France today"), (4, "what is the capital city of Spain"), (5, other.replace("dollars each to", "each to")[:36])]
     want = {(1, 1), (1, 3), (2, 1), (2, 3), (3, 2)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs(spark, rows), bench).collect()} == want
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # the shuffled way
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)  # the shuffled way
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs(spark, rows), bench).collect()} == want
 
 
@@ -370,11 +370,11 @@ def test_id_store_round_trip(spark, tmp_path):
 
     path, folder = tokenizer_path("byte_bpe_50k.json"), f"file://{tmp_path}/ids"
     same = " ".join(words(3000, 8))
-    rows = [*AWKWARD, (7, same), (8, same), (9, "<|endoftext|> it's, don't.  x\n\ny")]
+    rows = [*AWKWARD, (7, same), (8, same), (9, "<|endoftext|> it's, don't.  x\n\ny"), (10, "one <|endoftext|>two"), *[(11, same)] * 9]
     idstore.write(docs(spark, rows), folder, path, end_id=2)
     idstore.verify(spark, folder)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert 50256 in t.encode(rows[-10][1], add_special_tokens=False).ids
     ids = {(d, x): [*t.encode(x or "", add_special_tokens=False).ids, 2] for d, x in rows}
     got = idstore.read(spark, folder, path).orderBy("start").collect()
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
