@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rampart.functions import spec
 from rampart.functions.text import deleet_text, let, normalize_text
 
+
 def no_detections() -> Column:
     return F.array().cast(spec_array())
 
@@ -18,8 +19,8 @@ def spec_array() -> str:
     return "array<struct<pattern_name:string,matched_text:string,position:int,risk_level:string>>"
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+def quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _groups(words: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
@@ -38,47 +39,64 @@ def _groups(words: tuple[str, ...]) -> list[tuple[str, tuple[str, ...]]]:
     return groups
 
 
+@cache
+def _signals() -> str:
+    """The signal words under their common parts, as an array literal."""
+    return "array(" + ", ".join(f"named_struct('part', {quote(part)}, 'words', array({', '.join(map(quote, own))}))" for part, own in _groups(spec.SIGNAL_WORDS)) + ")"
+
+
+@cache
+def _bank(prefix: str, promoted: bool) -> str:
+    """The patterns as an array literal: one expression serves all of them, so plans stay small."""
+    rows = (
+        f"named_struct('ord', {i}, 'name', {quote(prefix + p.name)}, 'risk', {quote(spec.RISK_PROMOTED[p.risk] if promoted else p.risk)}, 'regex', {quote(spec.java(p.regex))}, 'needs', array({', '.join(map(quote, p.needs))}))"
+        for i, p in enumerate(spec.PATTERNS)
+    )
+    return "array(" + ", ".join(rows) + ")"
+
+
 def has_signal(normalized: Column) -> Column:
     """Whether any signal word occurs. Without one, patterns are not looked for: this decides results, not only speed."""
-    tests = [F.contains(normalized, F.lit(part)) & _any(normalized, own) if own != (part,) else F.contains(normalized, F.lit(part)) for part, own in _groups(spec.SIGNAL_WORDS)]
-    return reduce(lambda a, b: a | b, tests)
+    return F.exists(F.expr(_signals()), lambda g: F.contains(normalized, g["part"]) & F.exists(g["words"], lambda w: F.contains(normalized, w)))
 
 
-def find_iter(text: Column, regex: str) -> Column:
+def find_iter(text: Column, regex: str | Column) -> Column:
     """``array<struct<start, match>>`` of all matches from the left: offsets follow from the lengths of the gaps and matches."""
-    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex, -1)
-
-    def step(state: Column, m: Column) -> Column:
-        n = F.size(state["found"])
-        start = state["end"] + F.length(F.element_at(gaps, n + 1))
-        return F.struct((start + F.length(m)).alias("end"), F.concat(state["found"], F.array(F.struct(start.alias("start"), m.alias("match")))).alias("found"))
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    lengths = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
 
-    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,match:string>>").alias("found"))
-    return F.aggregate(matches, first, step, lambda s: s["found"])
+    def found(gaps: Column) -> Column:
+        def step(state: Column, m: Column) -> Column:
+            start = state["end"] + F.element_at(gaps, F.size(state["found"]) + 1)
+            return F.struct((start + F.length(m)).alias("end"), F.concat(state["found"], F.array(F.struct(start.alias("start"), m.alias("match")))).alias("found"))
 
+        first = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,match:string>>").alias("found"))
+        return F.aggregate(F.regexp_extract_all(text, regex, F.lit(0)), first, step, lambda s: s["found"])
 
-def _matches(text: Column, order: int, p: spec.Pattern, prefix: str, promoted: bool) -> Column:
-    risk = spec.RISK_PROMOTED[p.risk] if promoted else p.risk
-    regex = spec.java(p.regex)
-    found = F.transform(
-        find_iter(text, regex),
-        lambda m: F.struct(m["start"].alias("position"), F.lit(order).alias("ord"), F.lit(prefix + p.name).alias("pattern_name"), m["match"].alias("matched_text"), F.lit(risk).alias("risk_level")),
-    )
-    return F.when(_any(text, p.needs) & text.rlike(regex), found)
+    return let(lengths, found)
 
 
 def scan(text: Column, prefix: str = "", promoted: bool = False) -> Column:
-    """Matches of the whole bank, by position, then in the bank's order."""
-    every = F.array(*(_matches(text, i, p, prefix, promoted) for i, p in enumerate(spec.PATTERNS)))
-    ordered = F.array_sort(F.flatten(F.filter(every, lambda x: x.isNotNull())))
-    return F.transform(ordered, lambda d: F.struct(d["pattern_name"].alias("pattern_name"), d["matched_text"].alias("matched_text"), d["position"].alias("position"), d["risk_level"].alias("risk_level")))
+    """Matches of the whole bank in folded text, by position, then in the bank's order."""
+    return let(text, lambda t: _scan(t, prefix, promoted))
+
+
+def _scan(text: Column, prefix: str, promoted: bool) -> Column:
+    # A pattern's literals are looked for first; only then the pattern itself, and only where it is, all its places.
+    there = F.filter(F.expr(_bank(prefix, promoted)), lambda p: F.exists(p["needs"], lambda w: F.contains(text, w)) & F.rlike(text, p["regex"]))
+    every = F.transform(
+        there,
+        lambda p: F.transform(
+            find_iter(text, p["regex"]),
+            lambda m: F.struct(m["start"].alias("position"), p["ord"].alias("ord"), p["name"].alias("pattern_name"), m["match"].alias("matched_text"), p["risk"].alias("risk_level")),
+        ),
+    )
+    return F.transform(F.array_sort(F.flatten(every)), lambda d: F.struct(d["pattern_name"].alias("pattern_name"), d["matched_text"].alias("matched_text"), d["position"].alias("position"), d["risk_level"].alias("risk_level")))
 
 
 def regex_detections(normalized: Column, use_prefilter: bool = True) -> Column:
     """Detections in normalized text."""
-    found = scan(normalized)
-    return F.when(has_signal(normalized), found).otherwise(no_detections()) if use_prefilter else found
+    return F.when(has_signal(normalized), scan(normalized)).otherwise(no_detections()) if use_prefilter else scan(normalized)
 
 
 def novel(leet: Column, plain: Column) -> Column:

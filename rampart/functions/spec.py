@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import types as T
@@ -161,6 +162,23 @@ RESULT = T.StructType(
 )
 
 
+_PART = re.compile(r"\\.|\[[^\]]*\]|.")
+
+
 def java(regex: str) -> str:
-    """A bank pattern in the engine's dialect: white space and the dot mean what they mean on normalized text."""
-    return "(?iu)" + regex.replace(r"\s", f"[{SPACE}]").replace(".*?", r"[^\n]*?")
+    """A bank pattern for folded text, in the engine's dialect.
+
+    Folded text has no upper case, so the pattern is lower-cased and needs no flags; only the dotless i is left of what
+    counts as equal to another letter. White space and the dot mean what they mean on normalized text.
+    """
+    out = []
+    for part in _PART.findall(regex.replace(".*?", "\0")):
+        if part == r"\s":
+            out.append(f"[{SPACE}]")
+        elif part.startswith("\\"):
+            out.append(part)
+        elif part.startswith("["):
+            out.append(part[:-1].lower() + ("\u0131]" if "a-z" in part.lower() else "]"))
+        else:
+            out.append({"i": "[i\u0131]", "\0": r"[^\n]*?"}.get(part.lower(), part.lower()))
+    return "".join(out)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rampart.functions import fuzzy, match, spec, text
+from rampart.functions import screen, spec, text
 
 _NORM, _READ, _FOUND, _EVADES, _OUT = (f"_rampart_{x}" for x in ("norm", "read", "found", "evades", "out"))
 
@@ -14,6 +15,12 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _is_screened(df: DataFrame, result: str) -> bool:
+    """Whether the column is one of ``sanitize``; a user's own column of that name is not."""
+    kind = next((f.dataType for f in df.schema.fields if f.name == result), None)
+    return isinstance(kind, T.StructType) and kind.fieldNames() == spec.RESULT.fieldNames()
+
+
 def sanitize(df: DataFrame, text_col: str | Column = "text", source: str | Column | None = None, result: str = "result") -> DataFrame:
     """``df`` with a struct ``result`` of original_text, sanitized_text, detected_patterns, risk_score, content_hash,
     was_modified and source.
@@ -21,40 +28,32 @@ def sanitize(df: DataFrame, text_col: str | Column = "text", source: str | Colum
     Null text: null texts and hash, no detections, score 0, not modified. One narrow stage: no shuffle, no Python.
     """
     raw, label = _column(text_col), F.lit("") if source is None else _column(source)
-    size = F.length(raw)
+    norm, read, found, evades, out = map(F.col, (_NORM, _READ, _FOUND, _EVADES, _OUT))
     # Each step has a projection of its own, so that what it makes is computed once however often the next refers to it.
     one = df.withColumn(_NORM, text.normalize_text(raw))
-    two = one.withColumns({_EVADES: (size < spec.LEET_MIN_LENGTH) & text.has_evasion(raw), _READ: text.deleet_text(F.col(_NORM))})
-    plain = match.regex_detections(F.col(_NORM))
-    scrambled = F.when(size >= spec.FUZZY_MIN_LENGTH, fuzzy.fuzzy_detections(F.col(_NORM))).otherwise(match.no_detections())
-    leet = F.when((size >= spec.LEET_MIN_LENGTH) | F.col(_EVADES), match.leet_detections(F.col(_NORM), F.col(_READ))).otherwise(match.no_detections())
-    three = two.withColumn(_FOUND, F.when(raw.isNull(), match.no_detections()).otherwise(F.concat(plain, leet, scrambled)))
-    score = text.calculate_risk_score(F.col(_FOUND))
-    marked = (score >= spec.MODIFICATION_THRESHOLD) & (F.size(_FOUND) > 0)
-    four = three.withColumn(_OUT, text.escape_data_tags(F.when(marked, text.annotate(F.col(_NORM), F.col(_FOUND))).otherwise(raw)))
-    made = F.struct(
-        raw.alias("original_text"),
-        F.col(_OUT).alias("sanitized_text"),
-        F.col(_FOUND).alias("detected_patterns"),
-        score.alias("risk_score"),
-        text.content_hash(raw).alias("content_hash"),
-        F.coalesce(marked | (F.col(_OUT) != raw), F.lit(False)).alias("was_modified"),
-        label.alias("source"),
-    )
-    return four.withColumn(result, made).drop(_NORM, _READ, _FOUND, _EVADES, _OUT)
+    two = one.withColumns({_EVADES: screen.evasion(raw), _READ: text.deleet_text(norm)})
+    three = two.withColumn(_FOUND, screen.layers(raw, norm, read, evades))
+    score = text.calculate_risk_score(found)
+    four = three.withColumn(_OUT, screen.output(raw, norm, found, screen.is_marked(found, score)))
+    return four.withColumn(result, screen.result(raw, out, found, score, label)).drop(_NORM, _READ, _FOUND, _EVADES, _OUT)
 
 
 def detections(df: DataFrame, keys: list[str], text_col: str | Column = "text", result: str = "result") -> DataFrame:
-    """One row for each detection: the keys, its place in the order of detection, layer, name, text, position, risk."""
-    found = df if result in df.columns else sanitize(df, text_col, result=result)
-    rows = found.select(*keys, F.posexplode(F.col(f"{result}.detected_patterns")).alias("ord", "d"))
+    """One row for each detection: the keys, its place in the order of detection, layer, name, text, position, risk.
+
+    ``df`` may be one of ``sanitize`` or not yet screened; then a column named as ``result`` gives way, unless it is a key.
+    """
+    if not _is_screened(df, result):
+        result = "_rampart_result"
+        df = sanitize(df, text_col, result=result)
+    rows = df.select(*keys, F.posexplode(F.col(f"{result}.detected_patterns")).alias("ord", "d"))
     layer = F.when(F.startswith(F.col("d.pattern_name"), F.lit("leet:")), "leet").when(F.startswith(F.col("d.pattern_name"), F.lit("typoglycemia")), "fuzzy").otherwise("regex")
     return rows.select(*keys, "ord", layer.alias("layer"), "d.pattern_name", "d.matched_text", "d.position", "d.risk_level")
 
 
 def audit(df: DataFrame, text_col: str | Column = "text", source: str | Column | None = None, result: str = "result") -> DataFrame:
     """One row for each text with a detection, as a trace hook would get it."""
-    found = df if result in df.columns else sanitize(df, text_col, source, result)
+    found = df if _is_screened(df, result) else sanitize(df, text_col, source, result)
     r = F.col(result)
     return found.where(F.size(r["detected_patterns"]) > 0).select(
         r["source"].alias("source"),

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
-from rampart.functions import spec
-from rampart.functions.text import _FROM, _TO
+from rampart.functions import fuzzy, match, text
+from rampart.functions.screen import screened
+from rampart.functions.sqltext import written
 from rampart.plans.pipeline import audit, detections, sanitize
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def functions() -> dict[str, str]:
-    """Name and parameters, and SQL body, of every function."""
-    composed = "reflect('com.ibm.icu.text.Normalizer', 'compose', t, true)"
-    folded = f"translate({composed}, {_quote(_FROM)}, {_quote(_TO)})"
-    escaped = f"regexp_replace(regexp_replace(t, {_quote(spec.DATA_TAG_CLOSE)}, {_quote(spec.DATA_TAG_CLOSE_ESCAPED)}), {_quote(spec.DATA_TAG_OPEN)}, {_quote(spec.DATA_TAG_OPEN_ESCAPED)})"
-    html = "source"
-    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        html = f"replace({html}, {_quote(sign)}, {_quote(entity)})"
-    weights = " ".join(f"WHEN {_quote(k)} THEN {v}" for k, v in spec.RISK_WEIGHTS.items())
+def _bodies() -> dict[str, str]:
+    """Name and parameters, and SQL body, of every function; the bodies are what the Column functions write down."""
     kind = "ARRAY<STRUCT<pattern_name: STRING, matched_text: STRING, position: INT, risk_level: STRING>>"
+    result = f"STRUCT<original_text: STRING, sanitized_text: STRING, detected_patterns: {kind}, risk_score: DOUBLE, content_hash: STRING, was_modified: BOOLEAN, source: STRING>"
     return {
-        "normalize_text(t STRING) RETURNS STRING": f"CASE WHEN t IS NOT NULL THEN reflect('com.ibm.icu.lang.UCharacter', 'foldCase', {folded}, true) END",
-        "content_hash(t STRING) RETURNS STRING": "sha2(t, 256)",
-        "escape_data_tags(t STRING) RETURNS STRING": escaped,
-        "wrap_in_data_tags(t STRING, source STRING) RETURNS STRING": f"concat('<data-content source=\"', {html}, '\">\\n', {escaped}, '\\n</data-content>')",
-        "strip_sanitization_markers(t STRING) RETURNS STRING": f"CASE WHEN contains(t, {_quote(spec.MARK_GUARD)}) THEN regexp_replace(t, {_quote(spec.MARK_REGEX)}, '$1') ELSE t END",
-        f"calculate_risk_score(found {kind}) RETURNS DOUBLE": f"least(coalesce(aggregate(found, 0, (a, d) -> a + CASE d.risk_level {weights} ELSE {spec.UNKNOWN_WEIGHT} END), 0) / 100.0D, 1.0D)",
+        "normalize_text(t STRING) RETURNS STRING": written(text.normalize_text, "t"),
+        "content_hash(t STRING) RETURNS STRING": written(text.content_hash, "t"),
+        "escape_data_tags(t STRING) RETURNS STRING": written(text.escape_data_tags, "t"),
+        "wrap_in_data_tags(t STRING, source STRING) RETURNS STRING": written(text.wrap_in_data_tags, "t", "source"),
+        "strip_sanitization_markers(t STRING) RETURNS STRING": written(text.strip_sanitization_markers, "t"),
+        f"calculate_risk_score(found {kind}) RETURNS DOUBLE": written(text.calculate_risk_score, "found"),
+        f"detect_injection_patterns(t STRING) RETURNS {kind}": written(match.detect_injection_patterns, "t"),
+        f"detect_leet_injection(t STRING) RETURNS {kind}": written(match.detect_leet_injection, "t"),
+        f"detect_typoglycemia(t STRING) RETURNS {kind}": written(fuzzy.detect_typoglycemia, "t"),
+        f"sanitize(t STRING, source STRING) RETURNS {result}": written(screened, "t", "source"),
     }
 
 
+@cache
+def functions() -> dict[str, str]:
+    return _bodies()
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create the temporary functions; returns their names."""
     for head, body in functions().items():

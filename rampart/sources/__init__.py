@@ -1,5 +1,5 @@
 """Inputs: tables of a folder, and documents with planted attack text."""
 
-from rampart.sources.tables import PAYLOADS, attacks, table
+from rampart.sources.tables import PAYLOADS, attacks, planted, table
 
-__all__ = ["PAYLOADS", "attacks", "table"]
+__all__ = ["PAYLOADS", "attacks", "planted", "table"]
