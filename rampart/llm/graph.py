@@ -14,9 +14,9 @@ def _print(links: DataFrame) -> tuple:
 
 
 def _least(links: DataFrame) -> DataFrame:
-    """``u, m``: the smallest of each node's ``v``, a row for each node. Written, so that the joins with it are plain
-    shuffles, whose large partitions Spark splits: one node may have a third of all links."""
-    return storage.materialize(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+    """``u, m``: the smallest of each node's ``v``, a row for each node. Few rows are broadcast; beyond that the joins with
+    it are plain shuffles, whose large partitions Spark splits: one node may have a third of all links."""
+    return storage.placed(links.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         near = _least(both)
         # Of each link the greater node moves from the smaller one to that one's smallest neighbour or itself.
         by_small = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(near, "u")
-        large = storage.materialize(by_small.select(F.col("w").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        large = by_small.select(F.col("w").alias("u"), F.least("u", "m").alias("v"))
+        if not storage.is_broadcast(near):
+            large = storage.materialize(large, "large")
         low = _least(large)
         small = large.join(low, "u")
         pairs = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()

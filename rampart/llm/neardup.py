@@ -183,7 +183,7 @@ def _first(members: DataFrame) -> DataFrame:
     back = small.select("node", "n", *(F.lag(F.struct("node", "n"), k).over(by).alias(f"p{k}") for k in range(1, SMALL)))
     near = back.select("node", "n", F.explode(F.array(*(f"p{k}" for k in range(1, SMALL)))).alias("p"))
     near = near.where("p IS NOT NULL").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p.node").alias("y"), F.col("p.n").alias("ny"))
-    hubs = storage.materialize(large.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub")), "hubs")
+    hubs = storage.placed(large.groupBy("bucket").agg(F.max(F.struct("score", "node", "n")).alias("hub")), "hubs")
     star = large.join(hubs, "bucket").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hub.node").alias("y"), F.col("hub.n").alias("ny"))
     return near.unionByName(star)
 
@@ -196,7 +196,7 @@ def _cells(members: DataFrame, single: DataFrame, short: DataFrame) -> DataFrame
     sizes = members.where(F.col("size") > SMALL).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("many"), F.sum(4 * F.col("n") + 512).alias("bytes"))
     sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("many", "root", "bytes")).alias("most"), F.sum("bytes").alias("bytes")).where("roots > 1")
     blocks = [F.ceil(k / BLOCK).cast("int") for k in (F.col("bytes") - F.col("most.bytes"), F.col("most.bytes"))]
-    sizes = storage.materialize(sizes.select("bucket", F.col("most.root").alias("top"), blocks[0].alias("rest"), blocks[1].alias("most")), "mixed")
+    sizes = storage.placed(sizes.select("bucket", F.col("most.root").alias("top"), blocks[0].alias("rest"), blocks[1].alias("most")), "mixed")
     salted = members.join(sizes, "bucket").withColumn("h", F.xxhash64("node", "bucket"))
     own = F.when(F.col("root") == F.col("top"), F.col("rest") + F.pmod("h", "most")).otherwise(F.pmod("h", "rest")).cast("int")
     others = F.when(F.col("root") == F.col("top"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("most") - 1))
@@ -311,17 +311,16 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     single = texts.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("n").alias("n"), F.any_value("sketches").alias("sketches"))
     single = storage.materialize(single.select("node", "first.doc_id", "first.row", "n", "sketches"), "texts")
     buckets = single.select("node", "n", F.explode("sketches").alias("bucket"))
-    # Written, so that the join below is of plain shuffles, whose large partitions Spark splits.
-    shared = storage.materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    shared = storage.placed(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     sized = storage.materialize(buckets.join(shared, "bucket"), "buckets")
     # The hub of a bucket has the greatest score: the members of all the text's buckets.
-    scores = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    scores = storage.placed(sized.groupBy("node").agg(F.sum("size").alias("score")), "scores")
     members = storage.materialize(sized.join(scores, "node"), "members")
     # Only what is in a bucket with others is read again; a short list of it spares a shuffle of the texts.
     wanted = storage.placed(members.select("node").distinct().join(single, "node").select("node", "doc_id", "row"), "wanted")
     short = known.join(wanted, ["doc_id", "row"]).select("node", "text").mapInArrow(K.lean(_short), "node binary, kmers binary")
     short = storage.materialize(short.dropDuplicates(["node"]), "kmers")
-    storage.discard(shared, sized, wanted)
+    storage.discard(shared, sized, scores, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (short.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}")) for x in ("a", "b"))
@@ -337,7 +336,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similar:
     if more.limit(1).count():
         roots = graph.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = single.join(roots, "node", "left").select("node", "doc_id", "row", F.coalesce("root", "node").alias("root"))
-    smallest = storage.materialize(named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")), "classes")
+    smallest = storage.placed(named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")), "classes")
     by_node = named.join(smallest, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"))
     by_node = storage.materialize(by_node, "nodes")
     storage.discard(members, short, links, more, smallest, single)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Bytes of rows in one exchange with a Python worker. Documents are long, so the usual 10,000 rows would be too many.
 BATCH = "4m"
 #: Rows of a few numbers up to which a side of a join is broadcast; they take some tens of megabytes.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,13 +52,18 @@ def placed(df: DataFrame, label: str) -> DataFrame:
     """``df``, of rows of a few numbers, written; broadcast in joins if the rows, counted, are few. If not, a join with it
     is one of plain shuffles, whose large partitions Spark splits."""
     df = materialize(df, label)
-    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if df.count() > BROADCAST_ROWS:  # the files know
         return df
     small = F.broadcast(df)
     small._rampart_path = df._rampart_path
     return small
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether ``placed`` found the table small."""
+    return df.count() <= BROADCAST_ROWS
+
+
 def partitions(df: DataFrame, size: int = 256 << 20) -> int:
     """Shuffle partitions for the rows of ``df``: the session's number, or more if its files are so large that a
     partition would exceed ``size`` bytes."""
