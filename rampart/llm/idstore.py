@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,19 @@ def _digest(payload: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file. Texts are cut before spaces, around newlines and between a word and the
-    punctuation after it, where byte-level pre-tokenization cuts them anyhow; the ids of the parts are kept in bounded
-    caches of two generations."""
+    """Ids of texts by a tokenizers file.
+
+    Texts are cut before spaces, around newlines and between a word and the punctuation after it, where byte-level
+    pre-tokenization cuts them anyhow. Each distinct part of a group of texts is looked up once; the ids of parts are kept
+    in bounded caches of two generations.
+    """
 
     CACHED = 450_000
-    #: White space but for single spaces and newlines: texts with any of it are encoded in one piece.
-    _ODD = ("  ", " \n", "\n ", "\n\n", *"\0\1\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+    #: Signs that the pre-tokenizer may take together with others, so that texts with them are encoded in one piece: white
+    #: space but for single spaces and newlines, and the signs used as marks here.
+    _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01\t\r\x0b\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     _AFTER = ",.!?;:|%&#$*"
+    _STOP = r"([\pL\pN])([,.!?;:|%&#$*]+)(\x00|\z)"
 
     def __init__(self, path: str, end_id: int | None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at once
@@ -81,82 +87,67 @@ class Encoder:
             return False
         return [x for x, _ in pre.pre_tokenize_str("ab, cd\nef 1.\ng%%%")] == ["ab", ",", "Ġcd", "Ċ", "ef", "Ġ1", ".", "Ċ", "g", "%%%"]
 
-    def parts(self, text: str) -> list[str]:
-        """What stands after spaces; the sign \\0 opens what has no space before it, \\1 a text in one piece."""
-        if not self.cuttable or any([x in text for x in self.added]) or any([x in text for x in self._ODD]) or text[0] in " \n" or text[-1] in " \n":
-            return ["\1" + text]
-        words = text.split(" ")
-        words[0] = "\0" + words[0]
-        return words
-
-    def _joined(self, word: str) -> list[str] | None:
-        """The parts of a part that ends in punctuation or has newlines; none if it has no parts."""
-        if word[0] == "\1" or (word[-1] not in self._AFTER and "\n" not in word):
-            return None
-        out = []
-        for k, line in enumerate(word.split("\n")):
-            if k:
-                out.append("\0\n")
-                line = "\0" + line
-            core = line.rstrip(self._AFTER)
-            if core != line and core and core[-1].isalnum():
-                out += [core, "\0" + line[len(core) :]]
-            elif line != "\0":
-                out.append(line)
-        return out if len(out) > 1 else None
-
-    def _missing(self, wanted: set[str]) -> list[str]:
-        young, old, new = self.young, self.old, []
-        for w in wanted.difference(young):
-            ids = old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                young[w] = ids
-        return new
-
-    def _learn(self, words: set[str]) -> None:
-        young, single, joined = self.young, [], []
-        for w in self._missing(words):
-            parts = self._joined(w)
-            if parts:
-                joined.append((w, parts))
-            else:
-                single.append(w)
-        single += self._missing({p for _, x in joined for p in x}.difference(single))
-        code = "H" if self.type.itemsize == 2 else "I"
-        texts, whole = [], []
-        tokenize = self.t.model.tokenize
-        for w in single:
-            text = w[1:] if w[0] in "\0\1" else " " + w
-            if self.direct and ((text[1:] if text[0] == " " else text).isalpha() or not text.strip(self._AFTER)):
-                young[w] = array(code, [x.id for x in tokenize(self._signs(text))]).tobytes()
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Lists of the parts of each text; those of a text joined are the text."""
+        marked = pc.replace_substring(texts, " ", "\0 ")
+        marked = pc.replace_substring(marked, "\n", "\0\n\0")
+        return pc.split_pattern(pc.replace_substring_regex(marked, self._STOP, "\\1\x00\\2\\3"), "\0")
+
+    def _learned(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, in their order."""
+        young, old, after = self.young, self.old, self._AFTER
+        code, tokenize, signs, direct = "H" if self.type.itemsize == 2 else "I", self.t.model.tokenize, self.sign, self.direct
+        whole = []
+        for p in parts:
+            if p in young:
+                continue
+            ids = old.get(p)
+            if ids is not None:
+                young[p] = ids
+            elif direct and ((p[1:] if p[:1] == " " else p).isalpha() or not p.strip(after)):
+                young[p] = array(code, [x.id for x in tokenize(p.encode().decode("latin-1").translate(signs))]).tobytes() if p else b""
             else:
-                whole.append(w)
-                texts.append(text)
+                whole.append(p)
         for k in range(0, len(whole), 4096):
-            for w, e in zip(whole[k : k + 4096], self.t.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False), strict=True):
-                young[w] = array(code, e.ids).tobytes()
-        for w, parts in joined:
-            young[w] = b"".join([young[p] for p in parts])
-
-    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
-        end = b"" if self.end is None else np.array([self.end], self.type).tobytes()
-        k = 0
-        while k < len(texts):
-            some, signs = [], 0
-            while k < len(texts) and (not some or signs + len(texts[k] or "") < 1_000_000):
-                some.append(self.parts(texts[k]) if texts[k] else [])
-                signs += len(texts[k] or "")
-                k += 1
-            self._learn(set().union(*some))
-            young = self.young
-            for words in some:
-                yield b"".join(map(young.__getitem__, words)) + end
-            if signs > 4_000_000:
-                self.young, self.old = {}, {}
-            elif len(young) > self.CACHED:
-                self.young, self.old = {}, young
+            for p, e in zip(whole[k : k + 4096], self.t.encode_batch_fast(whole[k : k + 4096], add_special_tokens=False), strict=True):
+                young[p] = array(code, e.ids).tobytes()
+        return [young[p] for p in parts]
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, each with the end id; where each begins (one more entry than texts)."""
+        texts = K.strings(texts)
+        odd = pc.match_substring_regex(texts, self._ODD)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        if not self.cuttable:
+            odd = pc.or_(odd, pc.is_valid(texts))
+        lists = self._cut(pc.if_else(odd, "", texts))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = pc.list_flatten(lists).dictionary_encode()
+        known = self._learned(parts.dictionary.to_pylist())
+        size = np.array([len(x) for x in known], np.int64) // self.type.itemsize
+        flat, start = np.frombuffer(b"".join(known), self.type), np.cumsum(size) - size
+        number = parts.indices.to_numpy(zero_copy_only=False)
+        n = size[number]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        pick = np.repeat((start[number] - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)
+        ids = flat[pick]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if len(odd) or self.end is not None:
+            out, own = [], np.zeros(len(texts) + 1, np.int64)
+            whole = {r: np.array(e.ids, self.type) for k in range(0, len(odd), 64) for r, e in zip(odd[k : k + 64].tolist(), self.t.encode_batch_fast([texts[r].as_py() for r in odd[k : k + 64].tolist()], add_special_tokens=False), strict=True)}
+            tail = np.array([] if self.end is None else [self.end], self.type)
+            for r in range(len(texts)):
+                one = whole.get(r)
+                out += [ids[bounds[r] : bounds[r + 1]] if one is None else one, tail]
+                own[r + 1] = own[r] + len(out[-2]) + len(tail)
+            ids, bounds = np.concatenate(out) if out else ids, own
+        if len(self.young) > self.CACHED:
+            self.young, self.old = {}, self.young
+        return ids, bounds
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -168,18 +159,17 @@ def encoder(path: str, end_id: int | None) -> Encoder:
     return _encoders[path, end_id]
 
 
-def cut(streams: list[np.ndarray]) -> list[list[int]]:
-    """Ends of the chunks of each id stream: where the hash of the last ROLL ids ends in zeros, within the size bounds."""
-    sizes = np.array([len(x) for x in streams], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
+def cut(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream ids[first[r]:first[r + 1]]: where the hash of the last ROLL ids ends in zeros,
+    within the size bounds."""
     marks = np.empty(0, np.int64)
     if first[-1] >= ROLL:
-        hashed = K.prefix_hash(np.concatenate(streams).astype(K.U) + K.U(1))
+        hashed = K.prefix_hash(ids.astype(K.U) + K.U(1))
         end = np.arange(ROLL, first[-1] + 1)
         marks = end[K.span_hash(hashed, end - ROLL, end) % K.U(USUAL - SMALLEST) == 0]
     lo, hi = np.searchsorted(marks, first[:-1] + SMALLEST), np.searchsorted(marks, first[1:])
     out = []
-    for r, n in enumerate(sizes.tolist()):
+    for r, n in enumerate(np.diff(first).tolist()):
         ends, last = [], 0
         for m in [*(marks[lo[r] : hi[r]] - first[r]).tolist(), n]:
             while m - last > LARGEST:
@@ -203,11 +193,12 @@ def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]]
             for lo, hi in K.slices(b.column(1)):
                 part = b.slice(lo, hi - lo)
                 rows: list[tuple] = []
-                streams = [np.frombuffer(x, e.type) for x in e.encode_many(part.column(1).to_pylist())]
-                for doc, ids, ends in zip(part.column(0).to_pylist(), streams, cut(streams), strict=True):
-                    digests, last = [], 0
+                ids, first = e.encode_many(part.column(1))
+                at = first.tolist()
+                for r, (doc, ends) in enumerate(zip(part.column(0).to_pylist(), cut(ids, first), strict=True)):
+                    digests, last, base = [], 0, at[r]
                     for end in ends:
-                        payload = ids[last:end].tobytes()
+                        payload = ids[base + last : base + end].tobytes()
                         digests.append(d := _digest(payload))
                         if d not in seen:
                             if len(seen) > 500_000:  # forgetting costs a second copy in the shuffle, never in the store
@@ -215,7 +206,7 @@ def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]]
                             seen.add(d)
                             rows.append((0, d, None, None, None, payload))
                         last = end
-                    rows.append((1, _digest(repr(doc).encode()), doc, len(ids), digests, None))
+                    rows.append((1, _digest(repr(doc).encode()), doc, at[r + 1] - base, digests, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
 
     return run
