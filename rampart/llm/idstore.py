@@ -127,14 +127,9 @@ class Encoder:
         parts = pc.list_flatten(lists).dictionary_encode()
         known = self._learned(parts.dictionary.to_pylist())
         size = np.array([len(x) for x in known], np.int64) // self.type.itemsize
-        flat, start = np.frombuffer(b"".join(known), self.type), np.cumsum(size) - size
-        number = parts.indices.to_numpy(zero_copy_only=False)
-        n = size[number]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if total < 1 << 31 else np.int64
-        pick = np.repeat((start[number] - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)
-        ids = flat[pick]
+        lists_ = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(known), self.type)))
+        taken = lists_.take(parts.indices)
+        ids, ends = taken.flatten().to_numpy(), np.cumsum(size[parts.indices.to_numpy(zero_copy_only=False)])
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         if len(odd) or self.end is not None:
             out, own = [], np.zeros(len(texts) + 1, np.int64)

@@ -8,8 +8,9 @@ Training takes a sample of the labelled rows: at most ``SAMPLE`` of them, those
 With no labelled row, or labels of one value only, all weights stay at zero but for the bias.
 
 Null and empty texts are scored by the bias alone; very long texts are scored whole; rows that repeat a doc_id are
-scored each by its own text; of labels that repeat a doc_id, the smallest counts, and null labels or ids don't. An
-empty table gives an empty result; other columns are not looked at.
+scored each by its own text, and one of them trains; of labels that repeat a doc_id, the smallest counts, and null labels
+or ids don't. A score of exactly one half counts as label 1. An empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -128,6 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     # At most ``sample`` rows of two numbers are broadcast, and as many sparse rows train in one task.
     rows = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("nth"), "label", "text")
     sparse = rows.mapInArrow(K.lean(_sparse), "nth bigint, label int, index binary, value binary")
+    # Of rows that repeat an id, one trains: the smallest by its features.
+    sparse = sparse.groupBy("nth").agg(F.min(F.struct("label", "index", "value")).alias("row")).select("nth", "row.*")
     one = sparse.repartition(1).sortWithinPartitions("nth", "index").mapInArrow(K.lean(_trained), "weights binary")
     made = one.collect()  # one row, or none without labels
     return np.frombuffer(made[0]["weights"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
@@ -140,8 +143,8 @@ def logits(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
     padded = np.append(weights[:-1], np.float32(0)).astype(np.float64)
     if found:
         each = sum(padded[f] for f in found)
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        total = (sums[first[1:]] - sums[first[:-1]]) * (SCALE / np.maximum(n, 1))
+        some = np.flatnonzero(n)
+        total[some] = np.add.reduceat(each, first[some]) * (SCALE / n[some])  # each row by itself, whatever stands beside it
     return total + float(weights[-1])
 
 

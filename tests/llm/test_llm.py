@@ -424,6 +424,44 @@ def test_quality(spark):
     assert {x.score for x in none.collect()} == {0.5} and r
 
 
+def test_updates_equal_plain_ones():
+    """Follow-the-regularised-leader, one weight at a time."""
+    r = random.Random(8)
+    rows = []
+    for _ in range(60):
+        index = np.array(sorted(r.sample(range(200), r.randint(0, 12))), np.int64)
+        rows.append((r.randint(0, 1), index, np.array([r.choice([0.5, 1.0, 3.0]) for _ in index], np.float32)))
+    z, n, bias = {}, {}, 1 << quality.BITS
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= quality.L1 else -(a - (1 if a > 0 else -1) * quality.L1) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for y, index, value in rows:
+            x = [*zip(index.tolist(), map(float, value)), (bias, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.ftrl(rows)
+    assert np.allclose([got[i] for i in [*range(200), bias]], [weight(i) for i in [*range(200), bias]], atol=1e-5) and abs(got[bias]) > 0
+    # A score is the logistic function of the sparse dot product, and the same alone as among others.
+    w = np.random.default_rng(1).normal(size=bias + 1).astype(np.float32)
+    texts = [" ".join(words(k, k)).capitalize() + ("!" if k % 2 else "") for k in (1, 3, 500, 20)] + ["", "?"]
+    data, at = K.raw(pa.array(texts))
+    every = quality.logits(data, at, w)
+    for k, t in enumerate(texts):
+        data, at = K.raw(pa.array([t]))
+        assert quality.logits(data, at, w)[0] == every[k]
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([t])], names=["nth", "label", "text"])
+        row = next(quality._sparse([batch]))
+        index, value = np.frombuffer(row.column(2)[0].as_py(), np.int32), np.frombuffer(row.column(3)[0].as_py(), np.float32)
+        assert every[k] == pytest.approx(float(w[index] @ value + w[-1]), rel=1e-4, abs=1e-4)
+
+
 def test_marginals_equal_plain_forward_backward():
     rng = np.random.default_rng(1)
     m = langid.Model(["a", "b", "c"], np.empty(0, K.U), np.empty(0), rng.normal(size=3), rng.normal(size=(3, 3)))
@@ -598,6 +636,38 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert search.report(docs(spark, [])).count() == 0
 
 
+def test_search_skips_postings(monkeypatch):
+    """Blocks that can't reach the best scores stay closed, and nothing changes by that."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(search, "MATRIX_TERMS", 0)
+    r, vocabulary = random.Random(14), words(400, 15)
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(20, 60))) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])
+    found = [h for _, _, h, f in search._hashed(batch.column(1)) for h in np.split(h, f[1:-1])]
+    row = dict(zip((x.split()[0] for x in search._INDEX.split(", ")), search._shard(0, np.arange(600), np.array(list(map(len, found))), np.concatenate(found)), strict=True))
+    short = {q: np.unique(found[q])[:4] for q in range(0, 600, 60)}
+    asked = [{"query_id": q, "row": q, "n": len(t), "terms": t.tobytes(), "qtf": np.ones(len(t), np.uint32).tobytes()} for q, t in short.items()]
+    block = search.Block(asked)
+    df = {}
+    for h in found:
+        for t in np.unique(h).tolist():
+            df[t] = df.get(t, 0) + 1
+    counts = np.array([df[t] for t in block.terms.tolist()], float)
+    block.idf, block.mean = np.log1p((600 - counts + 0.5) / (counts + 0.5)), sum(map(len, found)) / 600
+    shard, best = search.Shard(row, block), [(np.empty(0, np.int64), np.empty(0))] * len(asked)
+    shard.search_all(block, best, 3)
+    assert 0 < shard.opened < 0.8 * shard.postings
+    idf = dict(zip(block.terms.tolist(), block.idf, strict=True))
+    for k, q in enumerate(range(0, 600, 60)):
+        scores = []
+        for d, h in enumerate(found):
+            t, c = np.unique(h, return_counts=True)
+            tf = dict(zip(t.tolist(), c.tolist(), strict=True))
+            s = sum(idf[x] * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * len(h) / block.mean)) for x in short[q].tolist() if x in tf)
+            scores.append((-round(s, 4), d))
+        assert best[k][0].tolist() == [d for _, d in sorted(scores)[:3]]
+
+
 def test_pipeline_keeps_one_of_many_copies_of_one_original(spark, tmp_path):
     import corpus_pipeline as c
 
