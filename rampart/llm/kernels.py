@@ -128,10 +128,10 @@ def slices(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of groups of rows of about CHUNK_BYTES, lower-cased if asked for.
+def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of groups of rows of about ``size`` bytes, lower-cased if asked for.
     Only one group at a time is copied."""
-    for lo, hi in slices(column):
+    for lo, hi in slices(column, size):
         part = strings(column.slice(lo, hi - lo))
         data, at = raw(pc.utf8_lower(part) if lower else part)
         yield lo, hi, data[at[0] : at[-1]], at - at[0]

@@ -41,6 +41,7 @@ BITS, SAMPLE, STRETCH, LEXICON = 15, 300, 4000, 300
 STEPS, BATCH, LONG, RATE, DECAY, DECIMALS = 60, 256, 48, 0.5, 1e-5, 9
 FAMILIES = 9  # prefixes of 1 to 3, suffixes of 1 to 3, n-grams of 2 to 4
 BLOCK = 128
+CHUNK = 1 << 19  # bytes of text whose features are in memory at once
 
 _APART = np.ones(256, dtype=bool)
 _APART[128:] = False
@@ -222,7 +223,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, stretch: int = STRETCH) -> Model
 
 def _marginals(column: pa.Array, model: Model) -> Iterator[tuple]:
     """(first row, each row's first byte, starts and ends of words in bytes, each row's first word, bytes, marginals) of groups of rows."""
-    for r0, _, data, at in K.chunks(column, lower=True):
+    for r0, _, data, at in K.chunks(column, lower=True, size=CHUNK):
         s, e, first = K.words(data, at, _APART)
         if len(s):
             yield r0, at, s, e, first, data, model.marginals(model.emissions(data, s, e), first)

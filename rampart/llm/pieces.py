@@ -80,7 +80,7 @@ class Vocabulary:
     def may_follow(self, left: str, right: str) -> bool:
         ok = self.follows.get((left, right))
         if ok is None:
-            if len(self.follows) > 200_000:
+            if len(self.follows) > 100_000:
                 self.follows.clear()
             ok = self.follows[left, right] = self.merged(left + right) == [left, right]
         return ok
@@ -217,7 +217,7 @@ class Encoder:
 class Codec:
     """Encoding and decoding of whole texts, with a bounded cache of the ids of stretches between known meeting places."""
 
-    CACHED = 150_000  # stretches in each of two generations
+    CACHED = 120_000  # stretches in each of two generations
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
