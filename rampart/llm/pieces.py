@@ -55,7 +55,8 @@ class Vocabulary:
             raise ValueError("a piece crosses a word boundary")
         # A piece that merging its own text doesn't give back is never used.
         self.usable = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
-        self.tails = {p[i:] for p in self.usable for i in range(len(p))}
+        # Ends of usable pieces, and whether one is a usable piece itself.
+        self.tails = dict.fromkeys((p[i:] for p in self.usable for i in range(1, len(p))), False) | dict.fromkeys(self.usable, True)
         self.follows: dict[tuple[str, str], bool] = {}
         self.text = [b""] * n  # by id, for decoding
         for p, i in self.id.items():
@@ -80,7 +81,7 @@ class Vocabulary:
     def may_follow(self, left: str, right: str) -> bool:
         ok = self.follows.get((left, right))
         if ok is None:
-            if len(self.follows) > 100_000:
+            if len(self.follows) > 150_000:
                 self.follows.clear()
             ok = self.follows[left, right] = self.merged(left + right) == [left, right]
         return ok
@@ -106,21 +107,25 @@ class Encoder:
     def _extend(self) -> None:
         """Find the surviving last piece of every boundary that has entered the window."""
         v = self.v
-        usable, tails, rank, follows, longest = v.usable, v.tails, v.rank, v.follows, v.longest
+        tails, rank, follows = v.tails, v.rank, v.follows
         w, last, before = self.window, self.last, self.before
         end = len(last)
         while end <= len(w):
             found = None
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
+            for start in range(end - 1, -1, -1):  # no end of a piece is longer than the longest one
                 piece = w[start:end]
-                left = last[start]
-                if piece not in tails:
+                whole = tails.get(piece)
+                if not whole:
+                    if whole is False:
+                        continue
+                    left = last[start]
                     if start == end - 1 and left is not None and piece not in rank:  # a sign that the model doesn't know
                         left = left or before
                         if not left or v.may_follow(left, piece):
                             found = piece
                     break
-                if left is None or piece not in usable:
+                left = last[start]
+                if left is None:
                     continue
                 left = left or before
                 if left:
@@ -196,8 +201,9 @@ class Encoder:
             head = t[: self.STEP]
             same = 0
             if not self.out:  # nothing of the text before has left the window
-                most = min(len(head), len(before))
-                while same < most and head[same] == before[same]:
+                for x, y in zip(head, before, strict=False):
+                    if x != y:
+                        break
                     same += 1
                 self.window = head
                 del self.last[same + 1 :]
@@ -217,7 +223,7 @@ class Encoder:
 class Codec:
     """Encoding and decoding of whole texts, with a bounded cache of the ids of stretches between known meeting places."""
 
-    CACHED = 120_000  # stretches in each of two generations
+    CACHED = 150_000  # stretches in each of two generations
 
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
