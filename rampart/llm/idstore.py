@@ -105,7 +105,9 @@ class Encoder:
             if ids is not None:
                 young[p] = ids
             elif direct and ((p[1:] if p[:1] == " " else p).isalpha() or not p.strip(after)):
-                young[p] = array(code, [x.id for x in tokenize(p.encode().decode("latin-1").translate(signs))]).tobytes() if p else b""
+                # Signs of bytes: a plain letter is its own, and so is what else stands here but for the space.
+                own = ("\u0120" + p[1:] if p[:1] == " " else p) if p.isascii() else p.encode().decode("latin-1").translate(signs)
+                young[p] = array(code, [x.id for x in tokenize(own)]).tobytes() if p else b""
             else:
                 whole.append(p)
         for k in range(0, len(whole), 4096):
