@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,6 +37,8 @@ from rampart.llm import storage
 #: Ids in a chunk: at least, about, at most. The rolling hash sees the last ROLL ids.
 SMALLEST, USUAL, LARGEST, ROLL = 128, 512, 4096, 16
 DIGEST = 16
+#: Bytes of texts encoded together: the more, the more of their parts are looked up once.
+GROUP = 2 << 20
 
 
 def _digest(payload: bytes) -> bytes:
@@ -52,7 +53,11 @@ class Encoder:
     in bounded caches of two generations.
     """
 
-    CACHED = 450_000
+    CACHED = 250_000
+    #: Words in one call of the model: its work on a stretch grows a little faster than the stretch.
+    AT_ONCE = 128
+    #: Words whose encodings are held at once.
+    HELD = 1 << 14
     #: Signs that the pre-tokenizer may take together with others, so that texts with them are encoded in one piece: white
     #: space but for single spaces and newlines, and the signs used as marks here.
     _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01\t\r\x0b\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -72,13 +77,26 @@ class Encoder:
         self.cuttable = self._cuttable()
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that are their own sign
         other = [b for b in range(256) if b not in plain]
-        self.sign = {b: chr(256 + k) for k, b in enumerate(other)} | {b: chr(b) for b in plain}
-        # A word of letters, or punctuation alone, is one unit of the pre-tokenizer: the model takes it as it is.
-        self.direct = self.cuttable and all([x.id for x in self.t.model.tokenize(self._signs(w))] == self.t.encode(w, add_special_tokens=False).ids for w in (" the", "naïve", " Größe", "日本", "%%%", ",", " qzxw"))
-
-    def _signs(self, text: str) -> str:
-        """The signs that stand for the text's bytes."""
-        return text.encode().decode("latin-1").translate(self.sign)
+        sign = {b: chr(256 + k) for k, b in enumerate(other)} | {b: chr(b) for b in plain}
+        self.sign = np.array([ord(sign[b]) for b in range(256)], np.dtype("<u4"))
+        # A word of letters, or punctuation alone, is one unit of the pre-tokenizer: the model takes it as it is, and many
+        # at once if a sign stands between them that it merges with nothing.
+        self.bare = Tokenizer(self.t.model)
+        vocabulary = self.t.get_vocab(with_added_tokens=False)
+        self.between = vocabulary.get(sign[0], -1)
+        tried = [" the", "naïve", " Größe", "日本", "%%%", ",", " qzxw", "", " ", " the"]
+        apart = self.cuttable and self.between >= 0 and not any(sign[0] in v and v != sign[0] for v in vocabulary)
+        self.direct = apart and [np.frombuffer(x, self.type).tolist() for x in self._units(tried)] == [self.t.encode(w, add_special_tokens=False).ids for w in tried]
+
+    def _units(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words that are one unit of the pre-tokenizer and hold no zero byte."""
+        if not words:
+            return []
+        signs = [self.sign[np.frombuffer(("\0".join(words[k : k + self.AT_ONCE]) + "\0").encode(), np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(words), self.AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.bare.encode_batch_fast(signs, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.between) * self.type.itemsize
+        data = ids.astype(self.type).tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends[:-1] + self.type.itemsize).tolist()], ends.tolist(), strict=True)]
 
     def _cuttable(self) -> bool:
         """Whether this file's own pre-tokenizer cuts at these places."""
@@ -95,25 +113,27 @@ class Encoder:
 
     def _learned(self, parts: list[str]) -> list[bytes]:
         """Ids of distinct parts, in their order."""
-        young, old, after = self.young, self.old, self._AFTER
-        code, tokenize, signs, direct = "H" if self.type.itemsize == 2 else "I", self.t.model.tokenize, self.sign, self.direct
-        whole = []
-        for p in parts:
-            if p in young:
-                continue
+        young, old, after, direct = self.young, self.old, self._AFTER, self.direct
+        known = list(map(young.get, parts))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        units, whole = [], []
+        for k in missing:
+            p = parts[k]
             ids = old.get(p)
             if ids is not None:
                 young[p] = ids
-            elif direct and ((p[1:] if p[:1] == " " else p).isalpha() or not p.strip(after)):
-                # Signs of bytes: a plain letter is its own, and so is what else stands here but for the space.
-                own = ("\u0120" + p[1:] if p[:1] == " " else p) if p.isascii() else p.encode().decode("latin-1").translate(signs)
-                young[p] = array(code, [x.id for x in tokenize(own)]).tobytes() if p else b""
+            elif direct and (p.lstrip(" ").isalpha() or not p.strip(after)):  # a part has one space at most
+                units.append(p)
             else:
                 whole.append(p)
+        for k in range(0, len(units), self.HELD):
+            young.update(zip(units[k : k + self.HELD], self._units(units[k : k + self.HELD]), strict=True))
         for k in range(0, len(whole), 4096):
             for p, e in zip(whole[k : k + 4096], self.t.encode_batch_fast(whole[k : k + 4096], add_special_tokens=False), strict=True):
-                young[p] = array(code, e.ids).tobytes()
-        return [young[p] for p in parts]
+                young[p] = np.array(e.ids, self.type).tobytes()
+        for k in missing:
+            known[k] = young[parts[k]]
+        return known
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, each with the end id; where each begins (one more entry than texts)."""
@@ -127,8 +147,8 @@ class Encoder:
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = pc.list_flatten(lists).dictionary_encode()
-        known = self._learned(parts.dictionary.to_pylist())
-        size = np.array([len(x) for x in known], np.int64) // self.type.itemsize
+        known = self._learned(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array(list(map(len, known)), np.int64) // self.type.itemsize
         lists_ = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(known), self.type)))
         taken = lists_.take(parts.indices)
         ids, ends = taken.flatten().to_numpy(), np.cumsum(size[parts.indices.to_numpy(zero_copy_only=False)])
@@ -185,9 +205,9 @@ _STAGED_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id"
 
 def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, seen = encoder(path, end_id), set()
+        e, seen, task, nth = encoder(path, end_id), set(), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo, hi in K.slices(b.column(1)):
+            for lo, hi in K.slices(b.column(1), GROUP):
                 part = b.slice(lo, hi - lo)
                 rows: list[tuple] = []
                 ids, first = e.encode_many(part.column(1))
@@ -203,23 +223,13 @@ def _stage(path: str, end_id: int | None) -> Callable[[Iterable[pa.RecordBatch]]
                             seen.add(d)
                             rows.append((0, d, None, None, None, payload))
                         last = end
-                    rows.append((1, _digest(repr(doc).encode()), doc, at[r + 1] - base, digests, None))
+                    rows.append((1, _digest(b"%d %d" % (task, nth)), doc, at[r + 1] - base, digests, None))
+                    nth += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
 
     return run
 
 
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of adjacent rows of kind 0 with one digest, the first. The input is sorted by kind and key."""
-    last = None
-    for b in batches:
-        keep = []
-        for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            keep.append(kind == 1 or key != last)
-            last = key if kind == 0 else None
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def _leaf(doc: int | None, n: int, digests: list[bytes]) -> bytes:
     return hashlib.sha256(repr((doc, n)).encode() + b"".join(digests)).digest()
 
@@ -283,8 +293,9 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = None,
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     staged = docs.mapInArrow(K.lean(_stage(tokenizer, end_id), cycles=False), _STAGED)
-    # Copies of a chunk within a task are gone already, so no digest brings more rows than there are tasks.
-    stored = staged.repartition(storage.partitions(docs), "key").sortWithinPartitions("kind", "key").mapInArrow(K.lean(_once), _STAGED)
+    # Copies of a chunk within a task are gone already, so no digest brings more rows than there are tasks; each recipe
+    # has a key of its own.
+    stored = staged.repartition(storage.partitions(docs), "key").sortWithinPartitions("kind", "key").dropDuplicates(["kind", "key"])
     stored.write.option("compression", "zstd").parquet(f"{folder}/store")
 
     rows = spark.read.parquet(f"{folder}/store").where("kind = 1")
@@ -391,23 +402,53 @@ def _shift(n_bytes: int) -> int:
     return _shifts[n_bytes]
 
 
-def joined_crc(steps: Iterable[tuple[int, int]]) -> int:
-    """CRC-32 of a sequence of parts from each part's (bytes, CRC-32)."""
-    crc = 0
+def joined_crc(steps: Iterable[tuple[int, int]], crc: int = 0) -> int:
+    """CRC-32 of a sequence of parts from each part's (bytes, CRC-32), and that of what stands before."""
     for n, c in steps:
         crc = _times(_shift(n), crc) ^ c
     return crc
 
 
+def _times_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_times`` of each pair."""
+    p, b = np.zeros(len(a), np.uint32), b.copy()
+    for bit in range(31, -1, -1):
+        p ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(_POLY), np.uint32(0))
+    return p
+
+
+def joined_crcs(first: np.ndarray, n_bytes: np.ndarray, crcs: np.ndarray) -> np.ndarray:
+    """``joined_crc`` of the parts first[r]:first[r + 1] of each row r: of all rows step by step, while many have one."""
+    sizes, size = np.unique(n_bytes, return_inverse=True)
+    shift = np.array([_shift(n) for n in sizes.tolist()], np.uint32)[size] if len(sizes) else np.empty(0, np.uint32)
+    out, count, step = np.zeros(len(first) - 1, np.uint32), np.diff(first), 0
+    rows = np.flatnonzero(count)
+    while len(rows) > 16:
+        at = first[rows] + step
+        out[rows] = _times_all(shift[at], out[rows]) ^ crcs[at]
+        step += 1
+        rows = rows[count[rows] > step]
+    for r in rows.tolist():
+        rest = slice(int(first[r]) + step, int(first[r + 1]))
+        out[r] = joined_crc(zip(n_bytes[rest].tolist(), crcs[rest].tolist(), strict=True), int(out[r]))
+    return out
+
+
 def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        crcs = []
-        for doc, n, steps in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            steps = steps or []
-            if any(s["n"] is None for s in steps) or sum(s["n"] for s in steps) != n:
-                raise ValueError(f"the ids of document {doc} are not all there")
-            crcs.append(joined_crc((4 * s["n"], s["crc"]) for s in steps))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        steps = b.column(3)
+        count = pc.fill_null(pc.list_value_length(steps), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(count)])
+        flat = steps.flatten()
+        n = pc.fill_null(flat.field("n"), -1).to_numpy(zero_copy_only=False)  # a chunk that the store doesn't have
+        before = np.concatenate([[0], np.cumsum(n)])
+        wrong = before[first[1:]] - before[first[:-1]] != b.column(2).to_numpy(zero_copy_only=False)
+        wrong[np.searchsorted(first, np.flatnonzero(n < 0), side="right") - 1] = True
+        if wrong.any():
+            raise ValueError(f"the ids of document {b.column(0)[int(np.argmax(wrong))].as_py()} are not all there")
+        crcs = pc.fill_null(flat.field("crc"), 0).to_numpy(zero_copy_only=False).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(joined_crcs(first, 4 * n, crcs).astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def summary(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:

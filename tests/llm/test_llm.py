@@ -392,6 +392,30 @@ def test_id_store_round_trip(spark, tmp_path):
     assert idstore.summary(spark, f"{folder}0", path).count() == 0
 
 
+def test_id_store_units_of_many_words():
+    path = tokenizer_path("byte_bpe_50k.json")
+    e = idstore.Encoder(path, None)
+    assert e.direct
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCßäöüéñçøłдж日本語ก"
+    units = [r.choice(["", " "]) + "".join(r.choices(letters, k=r.randint(1, 30))) for _ in range(1000)] + ["", " ", "%%%", ",", " " + "x" * 5000]
+    assert [np.frombuffer(x, e.type).tolist() for x in e._units(units)] == [x.ids for x in e.t.encode_batch(units, add_special_tokens=False)]
+    assert e._units([]) == []
+
+
+def test_joined_crcs():
+    r = random.Random(13)
+    parts = [[r.randbytes(4 * r.randint(0, 500)) for _ in range(r.randint(0, 30))] for _ in range(100)] + [[], [r.randbytes(8) for _ in range(500)]]
+    first = np.cumsum([0, *map(len, parts)])
+    n, crcs = np.array([len(x) for p in parts for x in p]), np.array([zlib.crc32(x) for p in parts for x in p], np.uint32)
+    assert idstore.joined_crcs(first, n, crcs).tolist() == [zlib.crc32(b"".join(p)) for p in parts]
+    steps = pa.array([[{"step": 0, "n": 3, "crc": 1}], None, [{"step": 0, "n": 2, "crc": 1}, {"step": 1, "n": None, "crc": None}]])
+    for n_tokens, doc in (([4, 0, 2], 5), ([3, 0, 2], 7)):
+        batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([0, 3, 3]), pa.array(n_tokens), steps], names=["doc_id", "start", "n_tokens", "steps"])
+        with pytest.raises(ValueError, match=f"document {doc} "):
+            list(idstore._digested([batch]))
+
+
 def test_joined_crc_and_merkle():
     parts = [b"abc", b"", b"x" * 1000, b"end"]
     assert idstore.joined_crc((len(p), zlib.crc32(p)) for p in parts) == zlib.crc32(b"".join(parts))
