@@ -53,7 +53,7 @@ class Encoder:
     in bounded caches of two generations.
     """
 
-    CACHED = 250_000
+    CACHED = 450_000
     #: Words in one call of the model: its work on a stretch grows a little faster than the stretch.
     AT_ONCE = 128
     #: Words whose encodings are held at once.
@@ -62,7 +62,11 @@ class Encoder:
     #: space but for single spaces and newlines, and the signs used as marks here.
     _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\x01\t\r\x0b\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     _AFTER = ",.!?;:|%&#$*"
-    _STOP = r"([\pL\pN])([,.!?;:|%&#$*]+)(\x00|\z)"
+    _IS_AFTER = np.isin(np.arange(256), np.frombuffer(_AFTER.encode(), np.uint8))
+    #: Letters and digits of one byte; first bytes of the two of the letters U+00C0 to U+017F (but for two signs) and
+    #: U+0400 to U+047F. After other letters punctuation stays in the word's part.
+    _IS_WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+    _LEADS = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])
 
     def __init__(self, path: str, end_id: int | None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at once
@@ -105,11 +109,27 @@ class Encoder:
             return False
         return [x for x, _ in pre.pre_tokenize_str("ab, cd\nef 1.\ng%%%")] == ["ab", ",", "Ġcd", "Ċ", "ef", "Ġ1", ".", "Ċ", "g", "%%%"]
 
-    def _cut(self, texts: pa.Array) -> pa.Array:
-        """Lists of the parts of each text; those of a text joined are the text."""
-        marked = pc.replace_substring(texts, " ", "\0 ")
-        marked = pc.replace_substring(marked, "\n", "\0\n\0")
-        return pc.split_pattern(pc.replace_substring_regex(marked, self._STOP, "\\1\x00\\2\\3"), "\0")
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, which joined are the texts, and the number of each text's."""
+        data, at = K.raw(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        row = np.zeros(len(data) + 1, dtype=bool)
+        row[at] = True
+        starts = row.copy()
+        starts[:-1] |= data == 32
+        newline = np.flatnonzero(data == 10)
+        starts[newline] = starts[newline + 1] = True
+        # Runs of punctuation that a part ends with, after a letter or digit.
+        stop = np.flatnonzero(self._IS_AFTER[data])
+        if len(stop):
+            new = np.append(True, np.diff(stop) > 1) | row[stop]
+            run, end = stop[new], stop[np.append(new[1:], True)] + 1
+            one, two = data[np.maximum(run - 1, 0)], data[np.maximum(run - 2, 0)]
+            own = self._IS_WORD[one] | (one >= 128) & (one < 192) & self._LEADS[two] & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7)))
+            starts[run[own & starts[end] & ~row[run]]] = True
+        cuts = np.flatnonzero(starts)
+        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        return parts, np.diff(np.searchsorted(cuts, at))
 
     def _learned(self, parts: list[str]) -> list[bytes]:
         """Ids of distinct parts, in their order."""
@@ -143,10 +163,9 @@ class Encoder:
             odd = pc.or_(odd, pc.match_substring(texts, token))
         if not self.cuttable:
             odd = pc.or_(odd, pc.is_valid(texts))
-        lists = self._cut(pc.if_else(odd, "", texts))
+        parts, counts = self._cut(pc.if_else(odd, "", texts))
         odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        parts = pc.list_flatten(lists).dictionary_encode()
+        parts = parts.dictionary_encode()
         known = self._learned(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.array(list(map(len, known)), np.int64) // self.type.itemsize
         lists_ = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(known), self.type)))

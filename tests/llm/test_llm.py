@@ -401,6 +401,11 @@ def test_id_store_units_of_many_words():
     units = [r.choice(["", " "]) + "".join(r.choices(letters, k=r.randint(1, 30))) for _ in range(1000)] + ["", " ", "%%%", ",", " " + "x" * 5000]
     assert [np.frombuffer(x, e.type).tolist() for x in e._units(units)] == [x.ids for x in e.t.encode_batch(units, add_special_tokens=False)]
     assert e._units([]) == []
+    signs = list(",.!?;:|%&#$*'\"-()\n é×÷ß\u0301abcXYZ019жё日本語\u037e¿€😀ſЀ")
+    texts = ["".join(r.choices(signs, k=r.randint(0, 40))) for _ in range(3000)] + ["", "", ",a", ",", "é,", ""]
+    for some in (texts, [","], ["é,"], [""], []):
+        ids, first = e.encode_many(pa.array(some, pa.string()))
+        assert [ids[first[k] : first[k + 1]].tolist() for k in range(len(some))] == [x.ids for x in e.t.encode_batch(some, add_special_tokens=False)]
 
 
 def test_joined_crcs():
